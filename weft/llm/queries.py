@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, toxicity
+from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def _share(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     machine = toxicity.train(docs, labels.where(_share(5) != 0))
@@ -30,6 +35,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(_share(4) != 2))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(_share(4) == 2, F.lit(False)).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_successors(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
 
@@ -43,9 +59,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_mixing, op8_exact_dedup, op9_near_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_substrings, op4_toxicity, op5_mixing, op6_language_id, op7_fingerprints, op8_exact_dedup, op9_near_dedup, op10_packing)}
 
 ORACLES = {
+    "op2_substrings": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v FROM documents
+        ), p AS (
+            SELECT doc_id, unnest(range(1, len(v) - 11)) AS i FROM w WHERE len(v) >= 13
+        ), g AS (
+            SELECT p.doc_id, p.i, array_to_string(w.v[p.i : p.i + 12], ' ') AS g FROM p JOIN w USING (doc_id)
+        ), f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+        c AS (
+            SELECT DISTINCT doc_id, unnest(range(g.i, g.i + 13)) AS j FROM g JOIN f USING (g) WHERE f.first < g.doc_id
+        ), r AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id),
+        k AS (
+            SELECT w.doc_id, len(w.v) AS n_words, coalesce(len(r.gone), 0) AS n_removed,
+                   CASE WHEN r.gone IS NULL THEN w.v
+                        ELSE list_transform(list_filter(range(1, len(w.v) + 1), lambda j: NOT list_contains(r.gone, j)), lambda j: w.v[j]) END AS kept
+            FROM w LEFT JOIN r USING (doc_id)
+        )
+        SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+    """,
     "op8_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
