@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, substrings, toxicity
+from . import exact_dedup, fingerprints, html_extract, language_id, mixing, near_dedup, packing, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,21 @@ def _share(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    out = warc.read(spark, archives, payloads=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     machine = toxicity.train(docs, labels.where(_share(5) != 0))
@@ -59,9 +69,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substrings, op4_toxicity, op5_mixing, op6_language_id, op7_fingerprints, op8_exact_dedup, op9_near_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_substrings, op3_warc, op4_toxicity, op5_mixing, op6_language_id, op7_fingerprints, op8_exact_dedup, op9_near_dedup, op10_packing)}
 
 ORACLES = {
+    "op3_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h FROM pages
+        ), d AS (
+            SELECT page_id, octet_length(encode(h)) AS payload_bytes, unhex(sha1(h)) AS x FROM p
+        ), b AS (
+            SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ('0b' || substr(x::BIT::VARCHAR, 1 + 5 * i, 5))::INTEGER, 1)), '') AS payload_digest
+            FROM d
+        ), g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM b)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM g
+    """,
     "op2_substrings": r"""
         WITH w AS (
             SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v FROM documents
