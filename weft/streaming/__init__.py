@@ -1,0 +1 @@
+"""Rules are batch queries: there is no streaming operator to offer here."""
