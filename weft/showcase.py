@@ -124,8 +124,8 @@ EXAMPLES: dict[str, Example] = {
     "string_eq": _rows("c, seg", ("Customer_Segment", "c", "seg"), where="EQ(seg,'BUILDING')", sql_where="seg = 'BUILDING'"),
     "string_range": _rows("p, brand", ("Part_Brand", "p", "brand"), where="brand >= 'Brand#2' AND LT(brand,'Brand#4')", sql_where="brand >= 'Brand#2' AND brand < 'Brand#4'"),
     "string_in": _rows("p, brand", ("Part_Brand", "p", "brand"), where="IN(brand,'Brand#11','Brand#22')", sql_where="brand IN ('Brand#11','Brand#22')"),
-    "like": _rows("p, name", ("Part_Name", "p", "name"), where="LIKE(name,'%1_%')", sql_where="name LIKE '%1_%'"),
-    "not_like": _rows("p, name", ("Part_Name", "p", "name"), where="NOT_LIKE(name,'%1%')", sql_where="name NOT LIKE '%1%'"),
+    "like": _rows("p, name", ("Part_Name", "p", "name"), where="LIKE(name,'l_rge%w%')", sql_where="name LIKE 'l_rge%w%'"),
+    "not_like": _rows("p, name", ("Part_Name", "p", "name"), where="NOT_LIKE(name,'%widget')", sql_where="name NOT LIKE '%widget'"),
     "is_null": _rows("p, b", ("Part_BrandN", "p", "b"), where="IS_NULL(b)", sql_where="b IS NULL"),
     "is_not_null": _rows("p, b", ("Part_BrandN", "p", "b"), where="IS_NOT_NULL(b)", sql_where="b IS NOT NULL"),
     "null_not_in": _rows("p, b", ("Part_BrandN", "p", "b"), where="NOT_IN(b,'Brand#11')", sql_where="b NOT IN ('Brand#11')"),
