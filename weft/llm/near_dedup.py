@@ -234,19 +234,22 @@ def link_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id: str =
         regs = _registers(table.column("regs").combine_chunks())
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        out_a, out_b = [], []
         need = threshold - SLACK
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((c[right] > c[i]) | (x != y))]
-            j = j[np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9]
-            if len(j):
-                j = j[(regs[j] == regs[i]).sum(axis=1) >= M * max(0.0, need - SLACK)]
-            if len(j):
-                j = j[estimate(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), n[i], float), n[j].astype(float)) >= need]
-                out_a.append(np.minimum(c[i], c[j]))
-                out_b.append(np.maximum(c[i], c[j]))
-        pick = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": pick(out_a).astype(np.int64), "b": pick(out_b).astype(np.int64)})
+        pairs: list[np.ndarray] = []
+        for at in range(0, len(left), 64):
+            i, j = np.nonzero(comp[left[at : at + 64], None] != comp[None, right])
+            i, j = left[at + i], right[j]
+            ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & ((x != y) | (c[i] < c[j]))
+            i, j = i[ok], j[ok]
+            for k in range(0, len(i), 1 << 16):  # the registers of equal cells bound the estimate
+                p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                ok = (regs[p] == regs[q]).sum(axis=1) >= M * (need - SLACK)
+                pairs.append(np.stack([p[ok], q[ok]]))
+        i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        if len(i):
+            ok = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) >= need
+            i, j = i[ok], j[ok]
+        return pa.table({"a": np.minimum(c[i], c[j]).astype(np.int64), "b": np.maximum(c[i], c[j]).astype(np.int64)})
 
     rest = cut(full.groupBy("key", "x", "y").applyInArrow(cross, "a long, b long").distinct())
     if rest.limit(1).count():
