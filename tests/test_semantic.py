@@ -1,0 +1,206 @@
+import json
+import urllib.error
+from io import BytesIO
+
+import pytest
+
+from weft import AnalysisError, Catalog, Engine
+from weft.semantic import formats, providers
+from weft.semantic.config import MapConfig
+from weft.semantic.map_step import ask, batches, numbered
+from weft.semantic.prompt import build_prompt
+
+COLUMNS = [{"name": "a", "data": [1, 2]}, {"name": "b", "data": ["x", "y"]}]
+PAPERS = [(0, "Joins", "On joins."), (1, "Trees", 'On "trees", too.'), (2, "Maps", "On maps."), (3, "Cuts", "On cuts."), (4, "Heaps", "On heaps.")]
+CITES = [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
+
+
+def config(**more):
+    return MapConfig.parse({"prompt": "p", "context_column": ["a"], **more})
+
+
+def test_flat_formats():
+    assert formats.xml(COLUMNS) == "<header><column>a</column><column>b</column></header>\n<row><column>1</column><column>x</column></row>\n<row><column>2</column><column>y</column></row>\n"
+    assert formats.xml([]).endswith("<row></row>\n")
+    assert formats.xml([{"name": "a", "data": [None]}]).endswith("<row><column></column></row>\n")
+    assert formats.markdown(COLUMNS) == ' | COLUMN_a | COLUMN_b | \n | - | - | \n | 1 | "x" | \n | 2 | "y" | \n'
+    assert json.loads(formats.json_object(COLUMNS)) == {"a": [1, 2], "b": ["x", "y"]}
+    assert formats.json_object(COLUMNS).startswith('{\n    "a": [\n')
+    assert formats.column_encoded(COLUMNS) == "- a: 1 | 2\n- b: x | y\n"
+    assert formats.column_encoded([{"data": [None]}]) == "- COLUMN 1: null\n"
+    assert formats.render(COLUMNS, 2, "XML").startswith("- The Number of Tuples to Generate Responses for: 2\n\n<header>")
+
+
+def test_tree_format():
+    rows = [{"a": 1, "b": "x", "c": 5}, {"a": 1, "b": "y", "c": 5}, {"a": 2, "b": "x", "c": None}]
+    tree = formats.build_tree(rows, {"a": None, "b": "a", "c": "a"})
+    assert tree["tree"]["1"] == {"b": {"values": ["x", "y"], "children": {}}, "c": {"values": [5], "children": {}}}
+    assert formats.ftree(tree) == "[FTREE]\n[ROOT a=1] \nb:\n  - x\n  - y\nc:\n  - 5\n[ROOT a=2] \nb:\n  - x\n"
+
+
+def test_prompt_has_its_sections():
+    p = build_prompt("Do it.", COLUMNS, 2, "JSON")
+    assert all(s in p for s in ("## Instructions", "## Response format", "Do it.", "Generate Responses for: 2"))
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        {"prompt": None}, {"context_column": []}, {"context_column": "a"}, {"context_column": {"a": 1}}, {"tuple_format": "YAML"}, {"tuple_format": "FTREE"},
+        {"tuple_format": "FTREE", "context_column": {"a": 0}}, {"tuple_format": "FTREE", "context_column": {"a": 1}, "batch_size": 5}, {"batch_size": 0}, {"batch_size": "x"},
+    ],
+)
+def test_bad_configurations(bad):
+    with pytest.raises(AnalysisError):
+        config(**bad)
+
+
+def test_defaults():
+    c = config()
+    assert (c.tuple_format, c.provider, c.model, c.model_name, c.batch_size) == ("JSON", "demo", "demo", "demo_model", 2048)
+
+
+def test_batches():
+    rows = [{"a": i // 3, "b": i} for i in range(9)]
+    assert [len(b) for b in batches(rows, config(batch_size=4), {})] == [4, 4, 1]
+    tree = MapConfig.parse({"prompt": "p", "tuple_format": "FTREE", "context_column": {"a": 1, "b": 2}})
+    assert [len(b) for b in batches(rows, tree, {"a": None, "b": "a"})] == [2, 1, 2, 1, 2, 1]
+    assert list(batches([], tree, {"a": None})) == []
+
+
+def test_missing_answers_are_null():
+    class Short:
+        def complete(self, prompt, n, config, first):
+            return ["one", {"x": 1}], providers.Usage(1, 2, 1, 3)
+
+    got, usage = ask(Short(), [{"a": i} for i in range(3)], 0, config(), {})
+    assert got == ["one", '{"x": 1}', None]
+    assert usage.as_dict() == {"api_calls": 1, "api_duration_ms": 3, "input_tokens": 1, "output_tokens": 2, "total_tokens": 3}
+
+
+def test_numbers_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(i % 7, f"x{i}") for i in range(50)], "a long, b string")
+    got = [sorted(map(tuple, numbered(df.repartition(k), "n").select("n", "a", "b").collect())) for k in (1, 5)]
+    assert got[0] == got[1]
+    assert [g[0] for g in got[0]] == list(range(50))
+    assert [g[1:] for g in got[0]] == sorted(g[1:] for g in got[0])
+
+
+def papers(spark, n=None):
+    rows = PAPERS if n is None else [(i, f"t{i}", f"a{i}") for i in range(n)]
+    cites = CITES if n is None else [(i, i + 1) for i in range(n - 1)]
+    c = Catalog(spark)
+    p, e = spark.createDataFrame(rows, "pid long, title string, abstract string"), spark.createDataFrame(cites, "src long, dst long")
+    for name in "ABC":
+        c.add(f"{name}Title", p, "pid", "title").add(f"{name}Abs", p, "pid", "abstract")
+    return c.add("AB", e, "src", "dst").add("BC", e, "src", "dst")
+
+
+BODY = "ATitle(a,atitle),AAbs(a,_,aabs),AB(a,b),BTitle(b,btitle),BAbs(b,_,babs),BC(b,c),CTitle(c,ctitle),CAbs(c,_,cabs)"
+
+
+def test_semantic_example(spark, tmp_path):
+    rule = f'Q(a,atitle,aabs,b,btitle,babs,c,ctitle,cabs,keywords) := {BODY}, keywords = LLM_MAP({{"prompt": "Give keywords.", "context_column": ["atitle", "btitle", "ctitle"]}})'
+    ordering = "a,atitle,aabs,b,btitle,babs,c,ctitle,cabs,keywords"
+    e = Engine(papers(spark))
+    got = sorted(map(tuple, e.query(rule, ordering).collect()))
+    assert [(r[0], r[3], r[6]) for r in got] == [(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)]
+    assert [r[-1] for r in got] == [f"Tuple {i}" for i in range(8)]
+    assert e.run(rule, ordering, f"sink_csv:{tmp_path}/k.csv").rows == 8
+    lines = (tmp_path / "k.csv").read_text().splitlines()
+    assert lines[0] == ordering and '"On ""trees"", too."' in (tmp_path / "k.csv").read_text()
+    assert json.loads((tmp_path / "metrics.json").read_text()) == {"api_calls": 0, "api_duration_ms": 0, "input_tokens": 0, "output_tokens": 0, "total_tokens": 0}
+
+
+@pytest.mark.parametrize("ordering", ["a,x,b,c", "a,b,x,c", "a,b,c,x"])
+@pytest.mark.parametrize("shape", ["flat", "tree"])
+def test_placement_on_a_long_chain(spark, ordering, shape):
+    context = '"context_column": ["a"]' if shape == "flat" else '"tuple_format": "FTREE", "context_column": {"a": 100}'
+    rule = f'Q(a,b,c,x) := AB(a,b), BC(b,c), x = LLM_MAP({{"prompt": "p", {context}}})'
+    df = Engine(papers(spark, 3000)).query(rule, ordering)
+    assert df.count() == 2998
+    assert df.where("x IS NULL").count() == 0
+
+
+def test_values_fan_out(spark):
+    def rel(adj):
+        return spark.createDataFrame([(a, b) for a, bs in adj.items() for b in bs], "s long, d long")
+
+    c = Catalog(spark)
+    for name, adj in (("R1", {0: [0, 1], 1: [1, 2]}), ("R2", {0: [0], 1: [0, 1], 2: [1]}), ("R3", {0: [0, 1], 1: [1]})):
+        c.add(name, rel(adj), "s", "d")
+    rule = 'Q(a,b,x,c,d) := R1(a,b), R2(b,c), R3(c,d), x = LLM_MAP({"prompt":"p","tuple_format":"FTREE","context_column":{"a":10,"b":10}})'
+    got = Engine(c).query(rule, "a,b,x,c,d").collect()
+    assert len(got) == 9
+    assert {(r.a, r.b): r.x for r in got} == {(0, 0): "Tuple 0", (0, 1): "Tuple 1", (1, 1): "Tuple 2", (1, 2): "Tuple 3"}
+    empty = Catalog(spark).add("R1", rel({0: [0]}), "s", "d").add("R2", spark.createDataFrame([], "s long, d long"), "s", "d").add("R3", rel({0: [0]}), "s", "d")
+    assert Engine(empty).query(rule, "a,b,x,c,d").collect() == []
+    assert Engine(empty).query(rule, "a,b,c,d,x").collect() == []
+
+
+def test_providers_by_name(monkeypatch):
+    assert isinstance(providers.create("Demo"), providers.Demo)
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    for name in ("", "default", "OPENAI"):
+        assert isinstance(providers.create(name), providers.OpenAI)
+    with pytest.raises(providers.ProviderError):
+        providers.create("nobody")
+
+
+class _Reply(BytesIO):
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+
+OPENAI = {"choices": [{"finish_reason": "stop", "message": {"content": '{"items": ["p", "q"]}'}}], "usage": {"prompt_tokens": 5, "completion_tokens": 2}}
+
+
+@pytest.mark.parametrize(
+    "provider,reply,url",
+    [
+        (providers.OpenAI({"OPENAI_API_KEY": "k"}), OPENAI, "api.openai.com/v1/chat/completions"),
+        (providers.Azure({"AZURE_API_KEY": "k", "AZURE_RESOURCE_NAME": "r", "AZURE_API_VERSION": "v"}), OPENAI, "r.openai.azure.com"),
+        (providers.Ollama(), {"done_reason": "stop", "message": {"content": '{"items": ["p", "q"]}'}, "prompt_eval_count": 5, "eval_count": 2}, "localhost:11434/api/chat"),
+        (providers.Anthropic({"ANTHROPIC_API_KEY": "k"}), {"stop_reason": "tool_use", "content": [{"type": "tool_use", "input": {"items": ["p", "q"]}}], "usage": {"input_tokens": 5, "output_tokens": 2}}, "api.anthropic.com"),
+    ],
+)
+def test_http_providers(monkeypatch, provider, reply, url):
+    sent = []
+    monkeypatch.setattr(providers.urllib.request, "urlopen", lambda r, timeout: sent.append(r) or _Reply(json.dumps(reply).encode()))
+    items, usage = provider.complete("prompt", 2, config(model="m", temperature=0), 0)
+    assert items == ["p", "q"]
+    assert (usage.input_tokens, usage.output_tokens, usage.api_calls) == (5, 2, 1)
+    body = json.loads(sent[0].data)
+    assert url in sent[0].full_url and "prompt" in json.dumps(body) and '"minItems": 2' in json.dumps(body)
+
+
+def test_provider_errors(monkeypatch):
+    p = providers.OpenAI({"OPENAI_API_KEY": "k"})
+    monkeypatch.setattr(providers.time, "sleep", lambda s: None)
+    calls = []
+
+    def fail(code):
+        def go(r, timeout):
+            calls.append(1)
+            raise urllib.error.HTTPError(r.full_url, code, "no", {}, BytesIO(b"sorry"))
+
+        return go
+
+    monkeypatch.setattr(providers.urllib.request, "urlopen", fail(401))
+    with pytest.raises(providers.ProviderError, match="OpenAI: HTTP 401"):
+        p.complete("x", 1, config(), 0)
+    assert len(calls) == 1
+    monkeypatch.setattr(providers.urllib.request, "urlopen", fail(503))
+    with pytest.raises(providers.ProviderError):
+        p.complete("x", 1, config(), 0)
+    assert len(calls) == 5
+    with pytest.raises(providers.ProviderError, match="not set"):
+        providers.OpenAI().complete("x", 1, config(), 0)
+    with pytest.raises(providers.ProviderError, match="stopped"):
+        p.parse({"choices": [{"finish_reason": "content_filter", "message": {}}]})
+    with pytest.raises(providers.ProviderError, match="stopped"):
+        providers.Anthropic().parse({"stop_reason": "max_tokens"})
+    assert providers.Anthropic().parse({"stop_reason": "end_turn", "content": [{"type": "text", "text": "plain"}]})[0] == ["plain"]

@@ -81,7 +81,7 @@ def split_fields(line: str, delimiter: str) -> list[str]:
             quoted = True
         else:
             field.append(c)
-        start = start and c.isspace() and not quoted
+        start = False
         at += 1
     out.append("".join(field).strip())
     return out
