@@ -42,14 +42,15 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(spaced, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def fingerprint(found: Column, hashes: Column) -> Column:
-    """The string form of a sketch."""
-    return F.when(F.size(found) == 0, F.concat(F.lit("="), F.hex(F.xxhash64(hashes)))).otherwise(F.array_join(F.transform(found, lambda h: F.hex(h)), ","))
+def fingerprint(found: Column, sequence: Column) -> Column:
+    """The string form of a sketch; ``sequence``: hash of the word sequence."""
+    return F.when(F.size(found) == 0, F.concat(F.lit("="), F.hex(sequence))).otherwise(F.array_join(F.transform(found, lambda h: F.hex(h)), ","))
 
 
-def likeness(a: Column, b: Column, equal: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches; ``equal``: whether the fingerprints are."""
+def likeness(a: str, a_sequence: str, b: str, b_sequence: str) -> Column:
+    """Estimated Jaccard similarity of two sketches; if one is empty, whether the fingerprints are equal."""
     common = F.size(F.array_intersect(a, b))
+    equal = (F.size(a) == 0) & (F.size(b) == 0) & (F.col(a_sequence) == F.col(b_sequence))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), equal.cast("double")).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
@@ -63,9 +64,10 @@ def merge(sketches: DataFrame, column: str, *keys: str) -> DataFrame:
     return sketches.select(*keys, F.explode(column).alias("h")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("h")).alias(column))
 
 
-def sketched(docs: DataFrame, text: str, out: str, hashes: str) -> DataFrame:
-    """``docs`` with the word hashes and the sketch of a text column."""
-    return docs.withColumn(hashes, word_hashes(F.col(text))).withColumn(out, sketch(F.col(hashes)))
+def sketched(docs: DataFrame, text: str, out: str, sequence: str) -> DataFrame:
+    """``docs`` with the sketch of a text column and the hash of its word sequence."""
+    hashed = docs.withColumn(sequence, word_hashes(F.col(text))).withColumn(out, sketch(F.col(sequence)))
+    return hashed.withColumn(sequence, F.xxhash64(sequence))
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -93,27 +95,26 @@ def compare_with_successors(docs: DataFrame, id: str = "doc_id", text: str = "te
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.coalesce(F.col(id).cast("long"), F.lit(_LEAST)).alias("id"), text_bytes(F.col(text)).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text")).withColumn("n_chars", F.length("text").cast("long"))
     order = successors(rows.select("id", "th", F.floor(F.col("n_chars") / 3).cast("int").alias("m")))
-    full = sketched(rows, "text", "sk", "hs").withColumn("fp", fingerprint(F.col("sk"), F.col("hs"))).drop("hs")
+    full = sketched(rows, "text", "sk", "sq")
     wanted = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), "m")
     # both joins read the same columns of ``full`` by the same keys: one exchange serves them
     gifts = full.join(wanted, ["id", "th"]).select(
         F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.col("m")).alias("gift"),
-        F.col("sk").alias("next_sk"), F.col("fp").alias("next_fp"), F.col("doc").alias("next_doc"), F.col("n_chars").alias("next_chars"),
+        F.col("sk").alias("next_sk"), F.col("sq").alias("next_sq"), F.col("doc").alias("next_doc"), F.col("n_chars").alias("next_chars"),
     )
     if rows.select(F.lit(1)).count() != order.select(F.lit(1)).count():  # some rows repeat id and text
         gifts = gifts.dropDuplicates(["id", "th"])
     whole = full.join(gifts, ["id", "th"])
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")), F.col("gift"))
-    out = sketched(whole.withColumn("edited", edited), "edited", "edited_sk", "edited_hs")
-    out = out.withColumn("edited_fingerprint", fingerprint(F.col("edited_sk"), F.col("edited_hs")))
+    out = sketched(whole.withColumn("edited", edited), "edited", "edited_sk", "edited_sq")
     return out.select(
         F.col("doc").alias(id),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("fp").alias("fingerprint"),
-        "edited_fingerprint",
-        likeness(F.col("sk"), F.col("edited_sk"), F.col("fp") == F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("sk"), F.col("next_sk"), F.col("fp") == F.col("next_fp")).alias("near_next"),
+        fingerprint(F.col("sk"), F.col("sq")).alias("fingerprint"),
+        fingerprint(F.col("edited_sk"), F.col("edited_sq")).alias("edited_fingerprint"),
+        likeness("sk", "sq", "edited_sk", "edited_sq").alias("near_edited"),
+        likeness("sk", "sq", "next_sk", "next_sq").alias("near_next"),
         containment(F.col("sk"), F.col("edited_sk")).alias("kept_in_edited"),
         F.col("next_doc").alias("next_id"),
         F.col("next_chars").alias("next_n_chars"),
