@@ -123,7 +123,11 @@ class Catalog:
         for folder in [root, *found]:
             meta = self.spark._jvm.org.apache.hadoop.fs.Path(folder, "_catalog.json")
             if fs.exists(meta):
-                text = "\n".join(r.value for r in self.spark.read.text(str(meta), wholetext=True).collect())
+                stream = fs.open(meta)  # Spark's readers skip names that start with "_"
+                try:
+                    text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                finally:
+                    stream.close()
                 self._register(TableMeta.from_json(text), f"{folder}/data")
         return self
 
