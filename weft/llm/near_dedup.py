@@ -229,29 +229,51 @@ def link_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id: str =
     dealt = dealt.select("key", "c", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     full = dealt.join(reps, "c").select("key", "x", "y", "own", "c", "component", "n", "regs")
 
-    def cross(table: pa.Table) -> pa.Table:
-        c, comp, n, own = (table.column(x).to_numpy() for x in ("c", "component", "n", "own"))
-        regs = _registers(table.column("regs").combine_chunks())
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    def cross(batches):
+        """Pairs of different components in runs of equal (key, x, y); a run is at most about 2 x BLOCK rows."""
+
+        def pairs(t: pa.Table) -> pa.RecordBatch:
+            key, x, y, own, c, comp, n = (t.column(k).to_numpy() for k in ("key", "x", "y", "own", "c", "component", "n"))
+            regs = _registers(t.column("regs").combine_chunks())
+            run = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            longest = int(np.bincount(run).max()) if len(run) else 0
+            left, right = [], []
+            for d in range(1, longest):  # partners d rows apart, over all runs at once
+                i = np.flatnonzero(run[d:] == run[:-d])
+                j = i + d
+                ok = (comp[i] != comp[j]) & ((x[i] == y[i]) | (own[i] != own[j])) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+                i, j = i[ok], j[ok]
+                ok = (regs[i] == regs[j]).sum(axis=1) >= M * (need - SLACK)
+                left.append(i[ok])
+                right.append(j[ok])
+            i, j = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
+            if len(i):
+                # a pair that shares several bands is estimated once
+                lo, hi = np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+                _, first = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
+                i, j = i[first], j[first]
+                ok = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) >= need
+                i, j = i[ok], j[ok]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j]))], ["a", "b"])
+
         need = threshold - SLACK
-        pairs: list[np.ndarray] = []
-        for at in range(0, len(left), 64):
-            i, j = np.nonzero(comp[left[at : at + 64], None] != comp[None, right])
-            i, j = left[at + i], right[j]
-            ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & ((x != y) | (c[i] < c[j]))
-            i, j = i[ok], j[ok]
-            for k in range(0, len(i), 1 << 16):  # the registers of equal cells bound the estimate
-                p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                ok = (regs[p] == regs[q]).sum(axis=1) >= M * (need - SLACK)
-                pairs.append(np.stack([p[ok], q[ok]]))
-        i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        if len(i):
-            ok = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) >= need
-            i, j = i[ok], j[ok]
-        return pa.table({"a": np.minimum(c[i], c[j]).astype(np.int64), "b": np.maximum(c[i], c[j]).astype(np.int64)})
-
-    rest = cut(full.groupBy("key", "x", "y").applyInArrow(cross, "a long, b long").distinct())
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column("key").to_numpy()
+            other = key != key[-1]
+            last = len(key) - int(np.argmax(other[::-1])) if other.any() else 0
+            if last:
+                yield pairs(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = full.repartition(spread, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    rest = cut(sorted_.mapInArrow(cross, "a long, b long").distinct())
     if rest.limit(1).count():
         more = cut(_linked(rest, texts, k, threshold))
         if more.limit(1).count():
