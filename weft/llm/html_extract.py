@@ -1,7 +1,7 @@
 """Main text of web pages by deducing the template of their host from equivalence classes of tokens.
 
 1. Tokens. A page is a sequence of tags and texts. A token is a tag or a whole text together with the path of container
-   elements it stands in, so equal tags in different places are different tokens.
+   elements it stands in (the second of two equal siblings is another element), so equal tags in different places differ.
 2. Occurrence vectors. The vector of a token says how often it occurs on each page of a host. It is kept as a digest: the
    exclusive or over the pages of a hash of (page, number of times), with the number of pages and of occurrences. Digests of
    parts merge, so hosts of any size are counted with map-side combination and no page is gathered.
@@ -66,10 +66,12 @@ class _Page:
         self.html = html
 
     def tokens(self) -> Iterator[tuple[str, str, bool, bool, str, str]]:
-        stack: list[tuple[str, bool, bool, str]] = []  # name, furniture, in article, path
+        # name, furniture, in article, path, number of children by name
+        stack: list[tuple[str, bool, bool, str, dict[str, int]]] = []
+        top: dict[str, int] = {}
         path, furniture, article, links = "", False, False, 0
         for m in _TOKEN.finditer(self.html):
-            text = m[5]
+            text = "<" if m[0] == "<" else m[5]
             if text is not None:
                 if not text.isspace():
                     yield "text", path, furniture, article, text, "a" if links > 0 else ""
@@ -97,9 +99,11 @@ class _Page:
             mark = words & _WORDS
             article = article or (name in ("article", "main") or "main" in words)
             furniture = furniture or name in _FURNITURE or (name == "header" and not article) or (bool(mark) and name not in ("html", "body", "article", "main"))
-            path = f"{path}/{name}{'.' + min(mark) if mark else ''}"
+            counts = stack[-1][4] if stack else top
+            counts[name] = counts.get(name, 0) + 1
+            path = f"{path}/{name}{'.' + min(mark) if mark else ''}{counts[name] if counts[name] > 1 else ''}"
             links = 0
-            stack.append((name, furniture, article, path))
+            stack.append((name, furniture, article, path, {}))
             yield "tag", path, furniture, article, "", name
 
 
