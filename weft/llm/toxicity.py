@@ -7,7 +7,7 @@ k(x, landmarks) K^-1/2, and a linear SVM (hinge loss) is trained on it.
 
 Training is multiple-instance: a toxic text has some toxic sentence, a clean text has none. A sentence is as toxic as
 its most toxic word; in every round the words of clean sentences are negatives, and of each toxic text the words
-that the last machine ranks highest in any sentence are the positives. A logistic curve over the two largest margins of
+that the last machine ranks highest in any sentence are the positives. A logistic curve over the two largest margins (the second if positive) of
 a text, fitted on the same rows, makes the score.
 
 A kernel value is linear in the explicit subsequence vector of the new word, so landmarks, Nystrom map and SVM fold into
@@ -149,7 +149,7 @@ class Machine:
         if self.constant is not None:
             return np.full(len(best), self.constant)
         a, b, c = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * best + b * second + c, -35, 35)))
+        return 1 / (1 + np.exp(-np.clip(a * best + b * np.maximum(0, second) + c, -35, 35)))
 
 
 def text_words(text: str | None) -> set[str]:
@@ -190,9 +190,9 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5
 
 def _curve(best: np.ndarray, second: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
     """Weighted logistic regression by Newton steps, slightly damped towards zero."""
-    z = np.stack([best, second, np.ones(len(best))], axis=1)
+    z = np.stack([best, np.maximum(0, second), np.ones(len(best))], axis=1)
     w = np.zeros(3)
-    damp = np.diag([1e-3, 1e-3, 0]) * len(y)
+    damp = np.diag([2e-4, 2e-4, 0]) * len(y)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
         h = (z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + damp
