@@ -11,9 +11,12 @@ with a probability below 1e-7. Documents with equal shingle sets are one class a
 
 1. In each bucket the smallest class is a star's centre; every other member keeps its likeliest centre (estimated from
    the registers by maximum likelihood), at most one pair per class, and the pair is verified. Components are formed.
-2. Buckets that still hold several components get every cross-component pair in blocks of registers (numpy, at most
-   ``BLOCK`` x ``BLOCK``); pairs whose likelihood estimate reaches the threshold less ``SLACK`` are verified. A component
-   that already holds both ends needs no further link, so copies are never expanded into all pairs.
+2. Buckets that still hold several components are compared in blocks of registers (numpy, at most about ``BLOCK`` x ``BLOCK``).
+   In each of ``ROUNDS`` rounds every class names its likeliest partner of another component, one pair per class is verified,
+   and components are formed again: groups of thousands grow together with as many pairs as they have members.
+3. What then still holds several components gets every cross-component pair whose likelihood estimate reaches the threshold
+   less ``SLACK``: these are the pairs of different groups that look alike. A component that already holds both ends needs no
+   further link, so copies are never expanded into all pairs.
 
 Verification compares the whole shingle sets of both texts. Nothing is capped.
 
@@ -44,6 +47,7 @@ TOP = 2000
 #: Standard error of the estimate at 0.8 is 0.035; pairs down to four of them below the threshold are verified.
 SLACK = 0.14
 BLOCK = 1024
+ROUNDS = 4
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -183,6 +187,75 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def _cross(held: DataFrame, part: DataFrame, reps: DataFrame, threshold: float, every: bool) -> DataFrame:
+    """(c, partner, est) of classes that share a bucket, not a component, and look similar enough.
+
+    ``every``: all such pairs, c the smaller; otherwise for each class its likeliest partner in each block.
+    """
+    need = threshold - SLACK
+    placed = held.join(part.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
+    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "size")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
+    dealt = placed.join(open_, "key").withColumn("blocks", blocks).withColumn("own", own)
+    dealt = dealt.select("key", "c", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "c", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    full = dealt.join(reps, "c").select("key", "x", "y", "own", "c", "component", "n", "regs")
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        key, x, y, own, c, comp, n = (t.column(k).to_numpy() for k in ("key", "x", "y", "own", "c", "component", "n"))
+        regs = _registers(t.column("regs").combine_chunks())
+        rows = len(c)
+        run = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        longest = int(np.bincount(run).max()) if rows else 0
+        top, partner = np.zeros(rows, np.int64), np.full(rows, -1)
+        left, right = [], []
+        for d in range(1, longest):  # partners d rows apart, over all runs at once
+            i = np.flatnonzero(run[d:] == run[:-d])
+            j = i + d
+            ok = (comp[i] != comp[j]) & ((x[i] == y[i]) | (own[i] != own[j])) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[ok], j[ok]
+            same = (regs[i] == regs[j]).sum(axis=1)
+            ok = same >= M * (need - SLACK)
+            i, j, same = i[ok], j[ok], same[ok]
+            if every:
+                left.append(i)
+                right.append(j)
+            else:  # i and j are each distinct here
+                for p, q in ((i, j), (j, i)):
+                    better = same > top[p]
+                    top[p[better]], partner[p[better]] = same[better], q[better]
+        if every:
+            i, j = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
+            i, j = np.where(c[i] < c[j], i, j), np.where(c[i] < c[j], j, i)
+            _, first = np.unique(np.stack([c[i], c[j]]), axis=1, return_index=True)  # a pair may share several buckets
+            i, j = i[first], j[first]
+        else:
+            i = np.flatnonzero(partner >= 0)
+            j = partner[i]
+        est = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) if len(i) else np.zeros(0)
+        ok = est >= need
+        return pa.RecordBatch.from_arrays([pa.array(c[i[ok]]), pa.array(c[j[ok]]), pa.array(est[ok])], ["c", "partner", "est"])
+
+    def run_blocks(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column("key").to_numpy()
+            other = key != key[-1]
+            last = len(key) - int(np.argmax(other[::-1])) if other.any() else 0
+            if last:
+                yield pairs(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    spread = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return full.repartition(spread, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run_blocks, "c long, partner long, est double")
+
+
 def link_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row (see the module's docstring)."""
     whole = stored(sketch(docs, k, id, text), "sketches")
@@ -220,60 +293,15 @@ def link_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id: str =
     links = cut(_linked(chosen, texts, k, threshold))
     part = components(links)
 
-    placed = held.join(part.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
-    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    dealt = placed.join(open_, "key").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = dealt.select("key", "c", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "c", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    full = dealt.join(reps, "c").select("key", "x", "y", "own", "c", "component", "n", "regs")
-
-    def cross(batches):
-        """Pairs of different components in runs of equal (key, x, y); a run is at most about 2 x BLOCK rows."""
-
-        def pairs(t: pa.Table) -> pa.RecordBatch:
-            key, x, y, own, c, comp, n = (t.column(k).to_numpy() for k in ("key", "x", "y", "own", "c", "component", "n"))
-            regs = _registers(t.column("regs").combine_chunks())
-            run = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-            longest = int(np.bincount(run).max()) if len(run) else 0
-            left, right = [], []
-            for d in range(1, longest):  # partners d rows apart, over all runs at once
-                i = np.flatnonzero(run[d:] == run[:-d])
-                j = i + d
-                ok = (comp[i] != comp[j]) & ((x[i] == y[i]) | (own[i] != own[j])) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
-                i, j = i[ok], j[ok]
-                ok = (regs[i] == regs[j]).sum(axis=1) >= M * (need - SLACK)
-                left.append(i[ok])
-                right.append(j[ok])
-            i, j = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
-            if len(i):
-                # a pair that shares several bands is estimated once
-                lo, hi = np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
-                _, first = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
-                i, j = i[first], j[first]
-                ok = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) >= need
-                i, j = i[ok], j[ok]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j]))], ["a", "b"])
-
-        need = threshold - SLACK
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column("key").to_numpy()
-            other = key != key[-1]
-            last = len(key) - int(np.argmax(other[::-1])) if other.any() else 0
-            if last:
-                yield pairs(pa.Table.from_batches([*held, b.slice(0, last)]))
-                held = []
-            held.append(b.slice(last))
-        if held:
-            yield pairs(pa.Table.from_batches(held))
-
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = full.repartition(spread, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    rest = cut(sorted_.mapInArrow(cross, "a long, b long").distinct())
+    for _ in range(ROUNDS):
+        best = _cross(held, part, reps, threshold, every=False)
+        chosen = cut(best.groupBy("c").agg(F.max_by("partner", F.struct("est", (-F.col("partner")).alias("low"))).alias("partner")).select(F.least("c", "partner").alias("a"), F.greatest("c", "partner").alias("b")).distinct())
+        more = cut(_linked(chosen, texts, k, threshold))
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+        part = components(links)
+    rest = cut(_cross(held, part, reps, threshold, every=True).select(F.col("c").alias("a"), F.col("partner").alias("b")).distinct())
     if rest.limit(1).count():
         more = cut(_linked(rest, texts, k, threshold))
         if more.limit(1).count():
