@@ -203,3 +203,10 @@ def test_filters_reach_the_scan(spark, tmp_path):
     e = Engine(Catalog(spark).add_parquet(path, R=("s", "d")))
     plan = e.query("Q(a,b) := R(a,b) WHERE EQ(a,3)")._jdf.queryExecution().toString()
     assert "EqualTo(s,3)" in plan and "extra" not in plan.split("ReadSchema")[-1]
+
+
+def test_explain_and_two_key_join(dag):
+    plan = dag.explain("Q(COUNT(*)) := R(a,b),R(b,c),R(a,c)")
+    assert "Physical Plan" in plan
+    # the atom that closes the cycle joins on both of its variables
+    assert any(line.count("#") >= 2 and "," in line for line in plan.splitlines() if line.strip().startswith("Left keys"))

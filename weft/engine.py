@@ -84,6 +84,11 @@ class Engine:
             return df.select(*map(_column, names))
         return df
 
+    def explain(self, rule: str, ordering: str | list[str] | None = None, **options) -> str:
+        """The physical plan of a rule, as Spark formats it."""
+        df = self.query(rule, ordering, **options)
+        return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
     def _mapped(self, bound: BoundRule, translator: Translator) -> DataFrame:
         """Join what comes before the LLM output, map, join the rest."""
         before, output = set(bound.llm_after), bound.rule.llm.output

@@ -88,6 +88,11 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._relations: dict[str, Relation] = {}
+        self._tables: dict[str, DataFrame] = {}
+
+    def refresh(self) -> None:
+        """Forget opened tables, so files written since then are seen."""
+        self._tables.clear()
 
     def names(self) -> list[str]:
         return list(self._relations)
@@ -107,7 +112,10 @@ class Catalog:
     def add_parquet(self, path: str, **relations: tuple) -> Catalog:
         """``Name=(source, target[, cardinality])`` over a Parquet table."""
         def load() -> DataFrame:
-            return self.spark.read.parquet(path)
+            # a table is opened once, however many relations and atoms name it
+            if path not in self._tables:
+                self._tables[path] = self.spark.read.parquet(path)
+            return self._tables[path]
 
         for name, (source, target, *card) in relations.items():
             self.add(name, load, source, target, *card)
