@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -43,10 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write as Parquet to the shared folder and read back, for results that several branches scan by column."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more; it does so when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """A column name that clashes with none of ``taken`` (Spark compares without case)."""
     used = {t.lower() for t in taken}

@@ -13,7 +13,8 @@ document; a document loses every word that a phrase covers which also starts in
 4. Automata. Passages are sharded by anchor; windows that are equal have equal anchors and meet in one shard. A shard confirms
    phrases word by word, compiles those of a bounded number of passages at a time into an Aho-Corasick automaton over word
    numbers, and streams the shard's passages through it: each occurrence gets the smallest id that its phrase starts in.
-5. The result goes back along the passages to the documents' runs, and the covered words are removed.
+5. The result goes back along the passages to the documents' runs, and the covered words are removed. Only documents that may
+   lose something are joined with their runs; the others (as a third bitmap tells) are written straight.
 
 Defined cases: null texts count as empty; texts shorter than a window lose nothing; a phrase that repeats inside one
 document alone does not recur; rows with a null id neither give nor lose phrases; rows that repeat an id are one document as
@@ -26,11 +27,12 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, cut, in_filter, stored, text_bytes
+from .common import bit_filter, cut, in_filter, release, stored, text_bytes
 from .textscan import Words, scan, signed, sliding_min
 
 WINDOW = 13
@@ -85,8 +87,14 @@ def passages(docs: DataFrame) -> DataFrame:
                 new[1:] &= ~(ok[:-1] & (a[1:] == a[:-1]) & (doc[1:] == doc[:-1]))
                 yield _by_document(ids[w.first + doc[new]], a[new])
 
-    found = cut(_recurring(docs.mapInArrow(anchors, "h long, n byte")))
-    first = share(bit_filter(found, "h", found.count()))
+    def bitmap(hashes: DataFrame):
+        found = cut(_recurring(hashes))
+        bits = share(bit_filter(found, "h", found.count()))
+        del found, hashes
+        release(spark)
+        return bits
+
+    first = bitmap(docs.mapInArrow(anchors, "h long, n byte"))
 
     def candidates(batches):
         for b in batches:
@@ -98,8 +106,7 @@ def passages(docs: DataFrame) -> DataFrame:
                 h, _ = w.sequence(WINDOW)
                 yield _by_document(ids[w.first + w.doc[at]], h[at] if len(at) else np.zeros(0, np.uint64))
 
-    found = cut(_recurring(docs.mapInArrow(candidates, "h long, n byte")))
-    second = share(bit_filter(found, "h", found.count()))
+    second = bitmap(docs.mapInArrow(candidates, "h long, n byte"))
 
     def runs(batches):
         for b in batches:
@@ -192,32 +199,43 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     sources = sourced(found)
     runs = found.select("id", "row", "start", "anchor", F.xxhash64("passage").alias("key")).join(sources, ["anchor", "key"])
     runs = runs.select("id", "row", F.struct("start", F.transform("least", lambda i: i < F.col("id")).alias("hit")).alias("run")).where(F.exists("run.hit", lambda x: x))
-    per = runs.groupBy("id", "row").agg(F.collect_set("run").alias("runs"))
+    per = stored(runs.groupBy("id", "row").agg(F.collect_set("run").alias("runs")), "covered")
+    del runs, sources
+    release(docs.sparkSession)
 
     def strip(batches):
-        for b in batches:
+        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             runs = b.column(2).to_pylist()
             for w in scan(b.column(1)):
                 n = w.counts()
                 base = np.cumsum(n) - n
                 out = []
                 for d in range(w.n_docs):
+                    if not n[d] or not runs[w.first + d]:
+                        out.append((int(n[d]), 0, w.text(base[d], base[d] + n[d]) if n[d] else "", []))
+                        continue
                     gone = np.zeros(n[d] + 1, np.int64)
-                    for r in runs[w.first + d] or ():
+                    for r in runs[w.first + d]:
                         at = r["start"] + np.flatnonzero(r["hit"])
                         np.add.at(gone, at, 1)
                         np.add.at(gone, at + WINDOW, -1)
                     gone = np.cumsum(gone)[:-1] > 0
                     stay = base[d] + np.flatnonzero(~gone)
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    if not gone.any():
-                        kept = w.text(base[d], base[d] + n[d]) if n[d] else ""
-                    else:
-                        kept = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.start[stay], w.end[stay])).decode("utf-8", "replace")
+                    kept = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.start[stay], w.end[stay])).decode("utf-8", "replace")
                     out.append((int(n[d]), int(gone.sum()), kept, edges.tolist()))
                 types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(w.first, w.n_docs), *(pa.array(list(c), t) for c, t in zip(zip(*out), types))], ["id", "n_words", "n_removed", "kept", "spans"])
 
     schema = "id long, n_words long, n_removed long, kept string, spans array<long>"
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(per, "row", per.count()))
+
+    @F.pandas_udf("boolean")
+    def covered(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(bits.value, keys.to_numpy().view(np.uint64)))
+
     # with the hash of the text, rows that repeat an id find their own runs
-    return rows.join(per, ["id", "row"], "left").select("id", "text", "runs").mapInArrow(strip, schema).withColumnRenamed("id", id)
+    flagged = rows.withColumn("covered", covered("row"))
+    whole = flagged.where(~F.col("covered")).select("id", "text", F.lit(None).cast(per.schema["runs"].dataType).alias("runs"))
+    parts = flagged.where("covered").join(per, ["id", "row"], "left").select("id", "text", "runs")
+    return whole.mapInArrow(strip, schema).union(parts.mapInArrow(strip, schema)).withColumnRenamed("id", id)

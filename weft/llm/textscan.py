@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one pass handles (a longer single text is one pass).
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
