@@ -28,7 +28,7 @@ def test_flat_formats():
     assert formats.json_object(COLUMNS).startswith('{\n    "a": [\n')
     assert formats.column_encoded(COLUMNS) == "- a: 1 | 2\n- b: x | y\n"
     assert formats.column_encoded([{"data": [None]}]) == "- COLUMN 1: null\n"
-    assert formats.render(COLUMNS, 2, "XML").startswith("- The Number of Tuples to Generate Responses for: 2\n\n<header>")
+    assert formats.render(COLUMNS, 2, "XML").startswith("Number of tuples: 2\n\n<header>")
 
 
 def test_tree_format():
@@ -40,7 +40,7 @@ def test_tree_format():
 
 def test_prompt_has_its_sections():
     p = build_prompt("Do it.", COLUMNS, 2, "JSON")
-    assert all(s in p for s in ("## Instructions", "## Response format", "Do it.", "Generate Responses for: 2"))
+    assert all(s in p for s in ("## Instructions", "## Response format", "Do it.", "Number of tuples: 2"))
 
 
 @pytest.mark.parametrize(

@@ -1,5 +1,8 @@
 """Tuples as prompt text in five formats.
 
+Fixed values of the formats: the XML elements header, row and column; the Markdown prefix COLUMN_; the marks [FTREE] and
+[ROOT attribute=value] of trees; a bar between values of encoded columns.
+
 Flat formats take columns ``[{"name": .., "data": [..]}]``; a column without a name is called ``COLUMN <n>``. FTREE takes
 ``{"root": attribute, "tree": {value: {child: {"values": [..], "children": {..}}}}}``.
 """
@@ -98,7 +101,7 @@ _FLAT = {"JSON": json_object, "XML": xml, "MARKDOWN": markdown, "COLUMN_ENCODED"
 
 def render(data, n: int, fmt: str) -> str:
     """The number of tuples, an empty line, and the tuples (columns, or a tree for FTREE)."""
-    head = f"- The Number of Tuples to Generate Responses for: {n}\n\n"
+    head = f"Number of tuples: {n}\n\n"
     return head + (ftree(data) if fmt == "FTREE" else _FLAT[fmt](data))
 
 
