@@ -37,13 +37,14 @@ from .textscan import scan
 
 DECAY = 0.6
 SPAN = 6
-TRAIN_ROWS = 2500
-LANDMARKS = 320
+TRAIN_ROWS = 2000
+LANDMARKS = 256
 ROUNDS = 3
-NEGATIVES = 8_000  # words of clean texts alone, and words of one toxic text, that are trained on at most
+NEGATIVES = 6_000  # words of clean texts alone, and words of one toxic text, that are trained on at most
 _WINDOW = 24
 _HOP = 12
 _CODES = 1 << 18
+_SLICE = 4096  # words whose subsequences are in memory at a time
 _MEMORY = 400_000  # words whose margin a worker remembers
 #: Margins beyond these say no more; the lower one is also that of a text without words.
 NO_WORD, TOP_MARGIN = -1.0, 1.5
@@ -114,15 +115,16 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     dense[column, lr] = lw / ln[lr]
     where = np.full(_CODES, -1)
     where[used] = np.arange(len(used))
-    r, c, w, n = vectors(words)
-    hit = where[c] >= 0
-    r, c, w = r[hit], where[c[hit]], w[hit] / n[r[hit]]
-    out = np.zeros((len(words), len(landmarks)))
-    order = np.argsort(r, kind="stable")
-    r, c, w = r[order], c[order], w[order]
-    for a in range(0, len(r), 50_000):
-        at, first = np.unique(r[a : a + 50_000], return_index=True)
-        out[at] += np.add.reduceat(dense[c[a : a + 50_000]] * w[a : a + 50_000, None], first, axis=0)
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    for at in range(0, len(words), _SLICE):
+        r, c, w, n = vectors(words[at : at + _SLICE])
+        hit = where[c] >= 0
+        r, c, w = r[hit], where[c[hit]], w[hit] / n[r[hit]]
+        order = np.argsort(r, kind="stable")
+        r, c, w = r[order], c[order], w[order]
+        for a in range(0, len(r), 20_000):
+            to, first = np.unique(r[a : a + 20_000], return_index=True)
+            out[at + to] += np.add.reduceat(dense[c[a : a + 20_000]] * w[a : a + 20_000, None], first, axis=0)
     return out
 
 
@@ -137,13 +139,17 @@ class Machine:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each cleaned word; a long word has its best window's."""
+        out = [self._margins(words[at : at + _SLICE]) for at in range(0, len(words), _SLICE)]
+        return np.clip(np.concatenate(out), NO_WORD, TOP_MARGIN) if out else np.zeros(0)
+
+    def _margins(self, words: list[str]) -> np.ndarray:
         parts = [windows(w) for w in words]
         flat = [p for ps in parts for p in ps]
         r, c, w, n = vectors(flat)
         out = np.bincount(r, weights=self.table[c] * w, minlength=len(flat)) / n + self.bias
         if len(flat) > len(words):
             out = np.maximum.reduceat(out, np.cumsum([0, *map(len, parts[:-1])]))
-        return np.clip(out, NO_WORD, TOP_MARGIN)
+        return out
 
     def probability(self, best: np.ndarray, second: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -173,17 +179,20 @@ def spelled(raw: list[str]) -> list[str]:
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5, steps: int = 160) -> tuple[np.ndarray, float]:
     """Weighted linear SVM with squared hinge loss, by accelerated gradient descent with a fixed number of steps."""
     n = weight.sum()
-    z = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    y = y.astype(x.dtype)
-    top = np.linalg.eigvalsh((z * (weight / n)[:, None]).T @ z)[-1] * 2 + penalty
-    w = v = np.zeros(z.shape[1], x.dtype)
+    z = np.empty((len(x), x.shape[1] + 1), x.dtype)
+    z[:, :-1], z[:, -1] = x, 1
+    del x
+    y = y.astype(z.dtype)
+    gram = sum((z[a : a + _SLICE] * (weight[a : a + _SLICE] / n)[:, None]).T @ z[a : a + _SLICE] for a in range(0, len(z), _SLICE))
+    top = np.linalg.eigvalsh(gram)[-1] * 2 + penalty
+    w = v = np.zeros(z.shape[1], z.dtype)
     t = 1.0
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (z @ v))
         grad = -2 * ((weight / n * y * slack) @ z) + penalty * np.append(v[:-1], 0)
-        new = (v - grad / top).astype(x.dtype)
+        new = (v - grad / top).astype(z.dtype)
         s = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        v = (new + (t - 1) / s * (new - w)).astype(x.dtype)
+        v = (new + (t - 1) / s * (new - w)).astype(z.dtype)
         w, t = new, s
     return w[:-1], w[-1]
 
@@ -200,21 +209,22 @@ def _curve(best: np.ndarray, second: np.ndarray, y: np.ndarray, weight: np.ndarr
     return tuple(w)
 
 
-def fit(texts: list[set[str]], toxic: list[int], share: float | None = None) -> Machine:
-    """Train on the word sets of labelled texts; ``share``: of toxic texts where the score is to be used."""
+def fit(texts: list, toxic: list[int], share: float | None = None) -> Machine:
+    """Train on the distinct words of labelled texts (a collection each); ``share``: of toxic texts where the score is to be used."""
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         return Machine(np.zeros(_CODES), 0.0, (0, 0, 0), float(y.mean()) if len(y) else 0.0)
-    seen: dict[str, list[int]] = {}
-    for i, words in enumerate(texts):
+    seen: tuple[dict[str, int], dict[str, int]] = {}, {}  # clean and toxic texts with the word
+    for words, label in zip(texts, toxic):
+        count = seen[int(label)]
         for w in words:
             for p in windows(w):
-                seen.setdefault(p, []).append(i)
-    words = [w for w in seen if len(w) > 3]
+                count[p] = count.get(p, 0) + 1
+    words = [w for w in dict.fromkeys([*seen[0], *seen[1]]) if len(w) > 3]
     n1 = y.sum()
     n0 = len(y) - n1
-    pos = np.array([y[seen[w]].sum() for w in words])
-    neg = np.array([len(seen[w]) for w in words]) - pos
+    neg, pos = (np.array([c.get(w, 0) for w in words], float) for c in seen)
+    del seen
     # how far the shares of toxic and clean texts that hold the word are apart, in standard errors
     held = (pos + neg) / len(y)
     z = (pos / n1 - neg / n0) / np.sqrt(held * (1 - held) * (1 / n1 + 1 / n0) + 1e-9)
@@ -235,7 +245,7 @@ def fit(texts: list[set[str]], toxic: list[int], share: float | None = None) ->
     value, vector = np.linalg.eigh(k_mm)
     good = value > 1e-6 * value[-1]
     root = vector[:, good] / np.sqrt(value[good])
-    phi = (kernel(words, marks) @ root).astype(np.float32)
+    phi = kernel(words, marks) @ root.astype(np.float32)
     bags = [np.array([i for w in t for p in windows(w) if (i := index.get(p, -1)) >= 0 and z[i] > 1], np.int64) for t, label in zip(texts, toxic) if label]
     margin = z
     for _ in range(ROUNDS):
@@ -246,12 +256,12 @@ def fit(texts: list[set[str]], toxic: list[int], share: float | None = None) ->
                 chosen = bag[m >= max(m.max() * 0.9, m.max() - 0.25)] if m.max() > 0 else bag[[m.argmax()]]
                 witness[chosen] += 1 / len(chosen)
         at = np.flatnonzero(witness)
-        x = np.concatenate([phi[at], phi])
-        label = np.concatenate([np.ones(len(at)), -np.ones(len(words))])
         against = neg**0.75
         weight = np.concatenate([witness[at] * against.sum() / max(1.0, witness.sum()) * 0.5, against]).astype(np.float32)
         held = weight > 0
-        w, bias = _svm(x[held], label[held], weight[held])
+        picked = np.concatenate([at, np.arange(len(words))])[held]
+        label = np.concatenate([np.ones(len(at)), -np.ones(len(words))])[held]
+        w, bias = _svm(phi[picked], label, weight[held])
         margin = phi @ w + bias
     lr, lc, lw, ln = vectors(marks)
     table = np.zeros(_CODES)
@@ -285,11 +295,13 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([sorted(text_words(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], ["id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([" ".join(sorted(text_words(t))) for t in b.column("text").to_pylist()], pa.string())], ["id", "y", "words"])
 
-    got = found.select("id", "y", text_bytes(F.col("text")).alias("text")).mapInArrow(sets, "id long, y int, words array<string>").collect()
-    got.sort(key=lambda r: (r["id"], r["y"], r["words"]))
-    return fit([set(r["words"]) for r in got], [r["y"] for r in got], sizes.get(1, 0) / max(1, sum(sizes.values())))
+    rows_found = found.select("id", "y", text_bytes(F.col("text")).alias("text")).mapInArrow(sets, "id long, y int, words string")
+    pool: dict[str, str] = {}  # each word is held once
+    got = sorted((r["id"], r["y"], tuple(pool.setdefault(w, w) for w in r["words"].split())) for r in rows_found.toLocalIterator())
+    del pool
+    return fit([g[2] for g in got], [g[1] for g in got], sizes.get(1, 0) / max(1, sum(sizes.values())))
 
 
 class Scorer:
