@@ -12,8 +12,8 @@ with a probability below 1e-7. Documents with equal shingle sets are one class a
 1. In each bucket the smallest class is a star's centre; every other member keeps its likeliest centre (estimated from
    the registers by maximum likelihood), at most one pair per class, and the pair is verified. Components are formed.
 2. Buckets that still hold several components are compared in blocks of registers (numpy, at most about ``BLOCK`` x ``BLOCK``).
-   In each of ``ROUNDS`` rounds every class names its likeliest partner of another component, one pair per class is verified,
-   and components are formed again: groups of thousands grow together with as many pairs as they have members.
+   In each of ``ROUNDS`` rounds every class outside its bucket's largest component names its likeliest partner of another
+   component, one pair per class is verified, and components are formed again: groups of thousands grow together with as many pairs as they have members.
 3. What then still holds several components gets every cross-component pair whose likelihood estimate reaches the threshold
    less ``SLACK``: these are the pairs of different groups that look alike. A component that already holds both ends needs no
    further link, so copies are never expanded into all pairs.
@@ -31,11 +31,12 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, stored
+from .common import bit_filter, components, cut, in_filter, release, stored
 from .textscan import _span_hash, distinct_by_doc, mix, scan, signed
 
 M = 128
@@ -46,8 +47,8 @@ BASE = 1.02
 TOP = 2000
 #: Standard error of the estimate at 0.8 is 0.035; pairs down to four of them below the threshold are verified.
 SLACK = 0.14
-BLOCK = 1024
-ROUNDS = 4
+BLOCK = 4096
+ROUNDS = 2
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -166,8 +167,15 @@ def sketch(docs: DataFrame, k: int, id: str, text: str) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough; ``texts``: (id, text), one row for each id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = texts.join(ids, "id", "left_semi")
+    # texts that no pair names are kept from the shuffle by a bitmap of bounded size; what it lets through finds no partner
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    bits = pairs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64("id").alias("key")), "key", 2 * pairs.count()))
+
+    @F.pandas_udf("boolean")
+    def named(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(bits.value, keys.to_numpy().view(np.uint64)))
+
+    some = texts.where(F.col("id").isNotNull() & named(F.xxhash64("id")))
     left = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     per_cent = round(threshold * 100)
@@ -187,10 +195,24 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def _in_largest(run: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Which rows are in the component that most rows of their run are in (of several the smallest)."""
+    order = np.lexsort((comp, run))
+    r, c = run[order], comp[order]
+    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])])) if len(r) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(r)))
+    best = np.lexsort((c[first], -size, r[first]))
+    opens = np.concatenate([[True], r[first][best][1:] != r[first][best][:-1]]) if len(best) else np.zeros(0, bool)
+    largest = np.zeros(int(run.max()) + 1 if len(run) else 0, np.int64)
+    largest[r[first][best][opens]] = c[first][best][opens]
+    return comp == largest[run]
+
+
 def _cross(held: DataFrame, part: DataFrame, reps: DataFrame, threshold: float, every: bool) -> DataFrame:
     """(c, partner, est) of classes that share a bucket, not a component, and look similar enough.
 
-    ``every``: all such pairs, c the smaller; otherwise for each class its likeliest partner in each block.
+    ``every``: all such pairs, c the smaller; otherwise for each class that is not in the largest component of its block the
+    likeliest partner there (of any two linked classes of different components one is such a class).
     """
     need = threshold - SLACK
     placed = held.join(part.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
@@ -231,7 +253,7 @@ def _cross(held: DataFrame, part: DataFrame, reps: DataFrame, threshold: float,
             _, first = np.unique(np.stack([c[i], c[j]]), axis=1, return_index=True)  # a pair may share several buckets
             i, j = i[first], j[first]
         else:
-            i = np.flatnonzero(partner >= 0)
+            i = np.flatnonzero((partner >= 0) & ~_in_largest(run, comp))
             j = partner[i]
         est = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) if len(i) else np.zeros(0)
         ok = est >= need
@@ -297,6 +319,8 @@ def link_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id: str =
         best = _cross(held, part, reps, threshold, every=False)
         chosen = cut(best.groupBy("c").agg(F.max_by("partner", F.struct("est", (-F.col("partner")).alias("low"))).alias("partner")).select(F.least("c", "partner").alias("a"), F.greatest("c", "partner").alias("b")).distinct())
         more = cut(_linked(chosen, texts, k, threshold))
+        del best, chosen
+        release(docs.sparkSession)
         if not more.limit(1).count():
             break
         links = links.union(more)
