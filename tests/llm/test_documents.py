@@ -292,6 +292,22 @@ def test_templates_of_div_pages(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, "http://h.example/x", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.main_text(df).orderBy("page_id").collect()]
+
+
+def story(i, k):
+    return f"Part {k} of story {i} tells of a long walk through number {i * 31 + k}."
+
+
+def test_slots_hold_all_paragraphs(spark):
+    """A div of a heading and several paragraphs is one slot, judged by all of its text."""
+    links = "".join(f"<a href='/{k}'>Link number {k} of the long list</a> " for k in range(6))
+    pages = [f"<html><body><div>{links}</div><div><h1>Tale {i}</h1>{''.join(f'<p>{story(i, k)}</p>' for k in range(2 + i % 3))}</div><div>Tiny {i}</div></body></html>" for i in range(6)]
+    assert extracted(spark, pages) == ["\n".join([f"Tale {i}", *(story(i, k) for k in range(2 + i % 3))]) for i in range(6)]
+
+
 def test_vectors_merge(spark):
     html = [page(f"<p>{'text ' * i}</p>", f"t{i}") for i in range(1, 9)]
     df = spark.createDataFrame([("h", i, h) for i, h in enumerate(html)], "host string, page long, html string")

@@ -8,7 +8,8 @@
 3. Equivalence classes. Tokens of a host with equal vectors form a class; it is valid with at least ``CLASS`` tokens and
    ``SUPPORT`` pages. The class that occurs once on every page (or on most) is the root of the template; classes with several
    occurrences a page nest in the slots between root tokens (lists of links, paragraphs) and split nothing.
-4. Slots. Between consecutive root tokens lies a slot. Slots in menus, headers, footers, sidebars, notices, adverts, forms,
+4. Slots. Between consecutive root tokens of containers lies a slot; a second reading of the pages sums its text and linked
+   text, whatever other tags it holds. Slots in menus, headers, footers, sidebars, notices, adverts, forms,
    scripts, styles and comments are page furniture; if the template has an article or main element, what lies outside is furniture,
    too; else slots are content by their amount of text and share of link text over all pages of the host. Texts that belong
    to the root outside an article are part of the template and no content.
@@ -122,26 +123,19 @@ def _digest(key: str) -> bytes:
 
 
 def page_counts(html: str) -> dict[str, list]:
-    """For each token of a page: occurrences, furniture, in article, text after it, linked text after it, first position."""
+    """For each token of a page: occurrences, furniture, in article, opens or ends a container, first position."""
     found: dict[str, list] = {}
-    last = None
     for at, (kind, key, furniture, article, text, name) in enumerate(_Page(html).tokens()):
         if kind == "text":
-            if last is not None:
-                n = len(text)
-                last[3] += n
-                last[4] += n if name else 0
             key = f"{key}#{' '.join(text.split())}"
         entry = found.get(key)
         if entry is None:
-            entry = found[key] = [0, furniture, article, 0, 0, at, kind]
+            entry = found[key] = [0, furniture, article, kind == "tag" and name in _CONTAINER, at, kind]
         entry[0] += 1
-        if kind == "tag":
-            last = entry
     return found
 
 
-COUNTS = "host string, token long, digest long, pages long, times long, ahead long, chars long, linked long, text boolean, furniture boolean, article boolean, name string"
+COUNTS = "host string, token long, digest long, pages long, times long, ahead long, text boolean, furniture boolean, article boolean, container boolean, name string"
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
@@ -151,28 +145,26 @@ def token_counts(pages: DataFrame) -> DataFrame:
         held: dict[tuple[str, str], list] = {}
 
         def flush():
-            rows = [(h, _hash(k), *v[:6], v[6] == "text", v[7], v[8], None if v[6] == "text" else k[-60:]) for (h, k), v in held.items()]
+            rows = [(h, _hash(k), *v[:4], v[4] == "text", *v[5:], None if v[4] == "text" else k[-60:]) for (h, k), v in held.items()]
             held.clear()
-            types = (pa.string(), *[pa.int64()] * 7, *[pa.bool_()] * 3, pa.string())
-            names = ("host", "token", "digest", "pages", "times", "ahead", "chars", "linked", "text", "furniture", "article", "name")
+            types = (pa.string(), *[pa.int64()] * 5, *[pa.bool_()] * 4, pa.string())
+            names = ("host", "token", "digest", "pages", "times", "ahead", "text", "furniture", "article", "container", "name")
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], list(names))
 
         for b in batches:
             hosts, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
             for host, page, html in zip(hosts, keys, b.column(2)):
-                for key, (n, furniture, article, chars, linked, at, kind) in page_counts(html.as_py()).items():
+                for key, (n, furniture, article, container, at, kind) in page_counts(html.as_py()).items():
                     mixed = ((page ^ (n * 0x9E3779B97F4A7C15)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
                     mixed = (mixed ^ (mixed >> 32)) - (1 << 63)
                     v = held.get((host, key))
                     if v is None:
-                        held[host, key] = [mixed, 1, n, at, chars, linked, kind, furniture, article]
+                        held[host, key] = [mixed, 1, n, at, kind, furniture, article, container]
                     else:
                         v[0] ^= mixed
                         v[1] += 1
                         v[2] += n
                         v[3] += at
-                        v[4] += chars
-                        v[5] += linked
                 if len(held) >= HELD:
                     yield flush()
         if held:
@@ -180,12 +172,12 @@ def token_counts(pages: DataFrame) -> DataFrame:
 
     parts = pages.mapInArrow(run, COUNTS)
     return parts.groupBy("host", "token").agg(
-        F.bit_xor("digest").alias("digest"), *[F.sum(c).alias(c) for c in ("pages", "times", "ahead", "chars", "linked")], *[F.max(c).alias(c) for c in ("text", "furniture", "article", "name")]
+        F.bit_xor("digest").alias("digest"), *[F.sum(c).alias(c) for c in ("pages", "times", "ahead")], *[F.max(c).alias(c) for c in ("text", "furniture", "article", "container", "name")]
     )
 
 
 def templates(counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One row per host: the tokens of the root class in page order, with their slots' kind.
+    """One row per host: the tokens of the root class, with the slot that a container's token begins.
 
     ``sizes``: host and its number of pages. A template has as many rows as its host's root class, whatever the pages.
     """
@@ -193,19 +185,68 @@ def templates(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     once = some.where("times = pages")
     groups = once.groupBy("host", "digest", "pages").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= CLASS)
     root = groups.groupBy("host").agg(F.max_by("digest", F.struct("pages", "size", "digest")).alias("digest"))
-    tokens = once.join(root, ["host", "digest"]).select(
-        "host",
-        F.struct(
-            (F.col("ahead") / F.col("pages")).alias("ahead"), "token", "text", "furniture", "article",
-            ((F.col("chars") >= 25 * F.col("pages")) & (F.col("linked") * 2 < F.col("chars"))).alias("rich"),
-        ).alias("t"),
-    )
+    tokens = once.join(root, ["host", "digest"]).where("text OR container").select("host", F.struct("token", F.when(~F.col("text"), F.col("token")).alias("slot"), "text", "article").alias("t"))
     return tokens.groupBy("host").agg(F.array_sort(F.collect_list("t")).alias("template"))
 
 
-def extract(html: str, template: list[dict] | None = None) -> str:
-    """Main text of one page; ``template``: the root tokens of its host (token, text, furniture, article, rich)."""
-    slots = {t["token"]: t for t in template or ()}
+def slot_texts(html: str, template: dict[int, dict]) -> dict[int, list[int]]:
+    """Text and linked text of a page by slot: all that stands between one root token and the next, but for template texts."""
+    found: dict[int, list[int]] = {}
+    slot = None
+    for kind, key, furniture, _, text, name in _Page(html).tokens():
+        if kind == "tag":
+            if name in _CONTAINER and (t := template.get(_hash(key))):
+                slot = found.setdefault(t["slot"], [0, 0])
+        elif slot is not None and not furniture and _hash(f"{key}#{' '.join(text.split())}") not in template:
+            n = len(" ".join(text.split()))
+            slot[0] += n
+            slot[1] += n if name else 0
+    return found
+
+
+def slot_counts(pages: DataFrame) -> DataFrame:
+    """One row per host: whether its slots are content, by their text over all pages; ``pages``: host, html, template."""
+
+    def run(batches):
+        held: dict[tuple[str, int], list[int]] = {}
+        known: dict[str, dict] = {}
+
+        def flush():
+            rows = [(h, k, *v) for (h, k), v in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), *[pa.int64()] * 4))], ["host", "slot", "pages", "chars", "linked"])
+
+        for b in batches:
+            for host, html, template in zip(*b.columns):
+                for slot, (chars, linked) in slot_texts(html.as_py(), _known(known, host.as_py(), template)).items():
+                    v = held.setdefault((host.as_py(), slot), [0, 0, 0])
+                    v[0] += 1
+                    v[1] += chars
+                    v[2] += linked
+                if len(held) >= HELD:
+                    yield flush()
+        if held:
+            yield flush()
+
+    sums = pages.mapInArrow(run, "host string, slot long, pages long, chars long, linked long").groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "linked")])
+    rich = (F.col("chars") >= 25 * F.col("pages")) & (F.col("linked") * 2 < F.col("chars"))
+    return sums.groupBy("host").agg(F.collect_list(F.struct("slot", rich.alias("rich"))).alias("slots"))
+
+
+def _known(known: dict[str, dict], host: str, template: pa.Scalar, slots: pa.Scalar | None = None) -> dict[int, dict]:
+    """The template of a host by token, read once a host."""
+    found = known.get(host)
+    if found is None:
+        if len(known) >= 1000:
+            known.clear()
+        rich = {s["slot"]: s["rich"] for s in (slots.as_py() if slots is not None else None) or ()}
+        found = known[host] = {t["token"]: t | {"rich": rich.get(t["slot"], False)} for t in template.as_py() or ()}
+    return found
+
+
+def extract(html: str, template: dict[int, dict] | None = None) -> str:
+    """Main text of one page; ``template``: the root tokens of its host by token (slot, text, article, rich)."""
+    slots = template or {}
     in_article = any(t["article"] for t in slots.values())
     fixed = {k for k, t in slots.items() if t["text"] and not t["article"]}
     tokens = list(_Page(html).tokens())
@@ -233,7 +274,7 @@ def extract(html: str, template: list[dict] | None = None) -> str:
             parts.append(" ")
         elif name in _BLOCK:
             close()
-        if slots and not in_article and not own_article and (slot := slots.get(_hash(key))):
+        if slots and not in_article and not own_article and name in _CONTAINER and (slot := slots.get(_hash(key))):
             rich = slot["rich"]
     close()
     return "\n".join(blocks)
@@ -247,16 +288,18 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     counted = token_counts(pages.select(host.alias("host"), page.alias("page"), F.coalesce(F.col(html), F.lit("")).alias("html")))
     found = stored(templates(stored(counted, "tokens"), rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))), "templates")
     n = found.agg(F.sum(F.size("template"))).first()[0] or 0
+    near = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+    slots = slot_counts(rows.join(near(found), "host").select("host", "html", "template"))
+    found = stored(found.join(slots, "host", "left"), "slots")
 
     def run(batches):
+        known: dict[str, dict] = {}
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                texts = [extract(h.as_py(), t.as_py()) for h, t in zip(part.column("html"), part.column("template"))]
+                texts = [extract(h.as_py(), _known(known, o.as_py(), t, s)) for o, h, t, s in zip(*(part.column(c) for c in ("host", "html", "template", "slots")))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    joined = rows.join(F.broadcast(found) if n <= BROADCAST_ROWS else found, "host", "left").select("id", "url", "html", "template")
+    joined = rows.join(near(found), "host", "left").select("id", "url", "host", "html", "template", "slots")
     kind = dict(pages.dtypes)
     return joined.mapInArrow(run, f"id {kind[id]}, url {kind[url]}, text string, n_chars long").withColumnsRenamed({"id": id, "url": url})
-
-
