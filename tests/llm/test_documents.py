@@ -308,6 +308,24 @@ def test_slots_hold_all_paragraphs(spark):
     assert extracted(spark, pages) == ["\n".join([f"Tale {i}", *(story(i, k) for k in range(2 + i % 3))]) for i in range(6)]
 
 
+def test_layouts_of_one_host(spark):
+    """Two div layouts, a page with an article, fragments and a page without its content container share a host."""
+    menu = "".join(f"<a href='/{k}'>Link number {k} of the long list</a> " for k in range(6))
+    body = lambda i: f"<h2>Tale {i}</h2>" + "".join(f"<p>{story(i, k)}</p>" for k in range(2 + i % 3))
+    text = lambda i: "\n".join([f"Tale {i}", *(story(i, k) for k in range(2 + i % 3))])
+    head = "<html><head><title>Site</title></head><body>"
+    pages = [f"{head}<div>{menu}</div><div>{body(i)}</div></body></html>" for i in range(5)]
+    pages += [f"{head}<section><ul><li>{menu}</li></ul></section><section>{body(i)}</section></body></html>" for i in range(5, 9)]
+    pages += [f"{head}<div>{menu}</div><article>{body(9)}</article></body></html>", f"<p>{story(10, 0)}</p>", f"{head}{body(11)}</body></html>"]
+    pages += [f"{head}<div>{menu}</div><div>{body(12)}</div><div>{body(13)}</div></body></html>"]
+    assert extracted(spark, pages) == [*(text(i) for i in range(10)), story(10, 0), text(11), f"{text(12)}\n{text(13)}"]
+
+
+def test_host_of_articles_with_a_page_without(spark):
+    pages = [f"<html><head><title>t</title></head><body><article><p>{story(i, 0)}</p></article></body></html>" for i in range(4)] + [f"<div><p>{story(4, 0)}</p></div>"]
+    assert extracted(spark, pages) == [story(i, 0) for i in range(5)]
+
+
 def test_vectors_merge(spark):
     html = [page(f"<p>{'text ' * i}</p>", f"t{i}") for i in range(1, 9)]
     df = spark.createDataFrame([("h", i, h) for i, h in enumerate(html)], "host string, page long, html string")

@@ -5,13 +5,16 @@
 2. Occurrence vectors. The vector of a token says how often it occurs on each page of a host. It is kept as a digest: the
    exclusive or over the pages of a hash of (page, number of times), with the number of pages and of occurrences. Digests of
    parts merge, so hosts of any size are counted with map-side combination and no page is gathered.
-3. Equivalence classes. Tokens of a host with equal vectors form a class; it is valid with at least ``CLASS`` tokens and
-   ``SUPPORT`` pages. The class that occurs once on every page (or on most) is the root of the template; classes with several
+3. Equivalence classes. Tokens of a host with equal vectors form a class; it is valid with at least ``CLASS`` tags and
+   ``SUPPORT`` pages. The classes that occur once a page are the roots of the host's layouts: what all pages share and what each layout
+   adds; a page's own tokens choose among them. On less than ``ROOT_SHARE`` of the pages a class must not hold more texts than
+   tags, else it is a group of copies; classes with several
    occurrences a page nest in the slots between root tokens (lists of links, paragraphs) and split nothing.
 4. Slots. Between consecutive root tokens of containers lies a slot; a second reading of the pages sums its text and linked
    text, whatever other tags it holds. Slots in menus, headers, footers, sidebars, notices, adverts, forms,
-   scripts, styles and comments are page furniture; if the template has an article or main element, what lies outside is furniture,
-   too; else slots are content by their amount of text and share of link text over all pages of the host. Texts that belong
+   scripts, styles and comments are page furniture; if the page has an article or main element, what lies outside is furniture,
+   too; else slots are content by their amount of text and share of link text over all pages of the host, and all are if
+   the page has no slot that is. Texts that belong
    to the root outside an article are part of the template and no content.
 5. Extraction. Each page is read once more; the texts of its content slots make blocks.
 
@@ -35,7 +38,7 @@ from .common import stored
 
 SUPPORT = 3
 CLASS = 3
-#: Share of a host's pages that the root class must be on.
+#: Share of a host's pages from which a class may hold more texts than tags.
 ROOT_SHARE = 0.5
 #: Templates up to this number of rows are broadcast; beyond it they are joined by host.
 BROADCAST_ROWS = 200_000
@@ -177,15 +180,16 @@ def token_counts(pages: DataFrame) -> DataFrame:
 
 
 def templates(counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One row per host: the tokens of the root class, with the slot that a container's token begins.
+    """One row per host: the tokens of its valid root classes, with the slot that a container's token begins.
 
-    ``sizes``: host and its number of pages. A template has as many rows as its host's root class, whatever the pages.
+    ``sizes``: host and its number of pages. A template has as many rows as its host's root classes, whatever the pages.
     """
-    some = counts.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "host").where((F.col("pages") >= SUPPORT) & (F.col("pages") >= F.col("n") * ROOT_SHARE))
+    some = counts.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "host").where(F.col("pages") >= SUPPORT)
     once = some.where("times = pages")
-    groups = once.groupBy("host", "digest", "pages").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= CLASS)
-    root = groups.groupBy("host").agg(F.max_by("digest", F.struct("pages", "size", "digest")).alias("digest"))
-    tokens = once.join(root, ["host", "digest"]).where("text OR container").select("host", F.struct("token", F.when(~F.col("text"), F.col("token")).alias("slot"), "text", "article").alias("t"))
+    # a class of texts and few tags is a group of copies and no layout
+    groups = once.groupBy("host", "digest", "pages", "n").agg(F.count_if("text").alias("texts"), F.count_if(~F.col("text")).alias("tags"))
+    roots = groups.where((F.col("tags") >= CLASS) & ((F.col("pages") >= F.col("n") * ROOT_SHARE) | (F.col("texts") <= F.col("tags")))).select("host", "digest", "pages")
+    tokens = once.join(roots, ["host", "digest", "pages"]).where("text OR container").select("host", F.struct("token", F.when(~F.col("text"), F.col("token")).alias("slot"), "text", "article").alias("t"))
     return tokens.groupBy("host").agg(F.array_sort(F.collect_list("t")).alias("template"))
 
 
@@ -230,7 +234,7 @@ def slot_counts(pages: DataFrame) -> DataFrame:
 
     sums = pages.mapInArrow(run, "host string, slot long, pages long, chars long, linked long").groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "linked")])
     rich = (F.col("chars") >= 25 * F.col("pages")) & (F.col("linked") * 2 < F.col("chars"))
-    return sums.groupBy("host").agg(F.collect_list(F.struct("slot", rich.alias("rich"))).alias("slots"))
+    return sums.groupBy("host").agg(F.collect_list(F.struct("slot", rich.alias("rich"), ((F.col("linked") > 0) & (F.col("linked") * 2 >= F.col("chars"))).alias("links"))).alias("slots"))
 
 
 def _known(known: dict[str, dict], host: str, template: pa.Scalar, slots: pa.Scalar | None = None) -> dict[int, dict]:
@@ -239,34 +243,31 @@ def _known(known: dict[str, dict], host: str, template: pa.Scalar, slots: pa.Sca
     if found is None:
         if len(known) >= 1000:
             known.clear()
-        rich = {s["slot"]: s["rich"] for s in (slots.as_py() if slots is not None else None) or ()}
-        found = known[host] = {t["token"]: t | {"rich": rich.get(t["slot"], False)} for t in template.as_py() or ()}
+        kinds = {s["slot"]: s for s in (slots.as_py() if slots is not None else None) or ()}
+        found = known[host] = {t["token"]: {"rich": False, "links": False} | t | kinds.get(t["slot"], {}) for t in template.as_py() or ()}
     return found
 
 
 def extract(html: str, template: dict[int, dict] | None = None) -> str:
-    """Main text of one page; ``template``: the root tokens of its host by token (slot, text, article, rich)."""
+    """Main text of one page; ``template``: the root tokens of its host by token (slot, text, article, rich, links)."""
     slots = template or {}
-    in_article = any(t["article"] for t in slots.values())
-    fixed = {k for k, t in slots.items() if t["text"] and not t["article"]}
     tokens = list(_Page(html).tokens())
     own_article = any(t[3] for t in tokens)
+    # the page's own tokens choose its layout
+    at = [slots.get(_hash(f"{t[1]}#{' '.join(t[4].split())}" if t[0] == "text" else t[1])) if slots and (t[0] == "text" or t[5] in _CONTAINER) else None for t in tokens]
+    judged = not own_article and any(slot and slot["rich"] for slot in at)
     blocks: list[str] = []
     parts: list[str] = []
-    rich = True
+    rich, links = True, False
 
     def close() -> None:
         if parts and (block := _clean(parts)):
             blocks.append(block)
         parts.clear()
 
-    for kind, key, furniture, article, text, name in tokens:
+    for (kind, key, furniture, article, text, name), slot in zip(tokens, at):
         if kind == "text":
-            if furniture or ((in_article or own_article) and not article):
-                continue
-            if fixed and _hash(f"{key}#{' '.join(text.split())}") in fixed:
-                continue
-            if slots and not in_article and not own_article and not rich:
+            if furniture or (own_article and not article) or (slot and not article) or (judged and not rich):
                 continue
             parts.append(text)
             continue
@@ -274,8 +275,10 @@ def extract(html: str, template: dict[int, dict] | None = None) -> str:
             parts.append(" ")
         elif name in _BLOCK:
             close()
-        if slots and not in_article and not own_article and name in _CONTAINER and (slot := slots.get(_hash(key))):
-            rich = slot["rich"]
+        if slot:
+            rich, links = slot["rich"], slot["links"]
+        elif name in _CONTAINER and not links and "|" not in key:
+            rich = True  # a container that no layout knows, and not in a list of links
     close()
     return "\n".join(blocks)
 
