@@ -321,6 +321,37 @@ def test_layouts_of_one_host(spark):
     assert extracted(spark, pages) == [*(text(i) for i in range(10)), story(10, 0), text(11), f"{text(12)}\n{text(13)}"]
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div class='page has-sidebar'><article><p>x</p></article></div>", "x"),
+        ("<div class='page has-sidebar'><p>x</p></div>", "x"),
+        ("<div class='page sidebar'><article><p>x</p></article></div>", "x"),
+        ("<div class='search-results-page'><article><p>x</p></article></div>", "x"),
+        ("<form id='aspnetForm'><article><p>x</p></article></form>", "x"),
+        ("<body><form id='aspnetForm'><div><p>x</p></div></form></body>", "x"),
+        ("<article><header class='entry-header'><h1>T</h1></header><p>x</p></article>", "T\nx"),
+        ("<article><div class='header'><h1>T</h1></div><p>x</p></article>", "T\nx"),
+        ("<article><div class='notice-of-intent'><p>x</p></div></article>", "x"),
+        ("<nav class='main-nav'><a href='/'>Home</a></nav><div><p>x</p></div>", "x"),
+        ("<div class='main-column'><p>x</p></div><p>y</p>", "x\ny"),
+        ("<div id='main'><p>x</p></div><p>y</p>", "x"),
+        ("<div role='main'><p>x</p></div><p>y</p>", "x"),
+        ("<article><p class='advert'>Buy</p><p>x</p></article>", "x"),
+        ("<article><p class='advert'>Buy<p>x</article>", "x"),
+        ("<article><p>x <span class='notice'>Mind <span>the</span> gap</span> y</p></article>", "x y"),
+        ("<article><h3 class='promo'>Buy</h3><p>x</p></article>", "x"),
+        ("<article><div class='share-buttons'>Share</div><p>x</p></article>", "x"),
+        ("<article><p>x</p></article><section class='comments'><article><p>First!</p></article></section>", "x"),
+        ("<aside><article><p>card</p></article></aside><article><p>x</p></article>", "x"),
+        ("<div><p>x</p></div><section class='comments'><article><p>First!</p></article></section>", "x"),
+        ("<div class='site-footer'>us</div><p>x</p>", "x"),
+    ],
+)
+def test_names(html, text):
+    assert html_extract.extract(html) == text
+
+
 def test_host_of_articles_with_a_page_without(spark):
     pages = [f"<html><head><title>t</title></head><body><article><p>{story(i, 0)}</p></article></body></html>" for i in range(4)] + [f"<div><p>{story(4, 0)}</p></div>"]
     assert extracted(spark, pages) == [story(i, 0) for i in range(5)]

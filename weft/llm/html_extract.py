@@ -12,7 +12,9 @@
    occurrences a page nest in the slots between root tokens (lists of links, paragraphs) and split nothing.
 4. Slots. Between consecutive root tokens of containers lies a slot; a second reading of the pages sums its text and linked
    text, whatever other tags it holds. Slots in menus, headers, footers, sidebars, notices, adverts, forms,
-   scripts, styles and comments are page furniture; if the page has an article or main element, what lies outside is furniture,
+   scripts, styles and comments are page furniture, by their element or
+   by their names: an article ends what one word of a longer name or a form around it says, main ends all, and inside an
+   article a name must mean furniture as a whole, and not a header; if the page has an article or main element, what lies outside is furniture,
    too; else slots are content by their amount of text and share of link text over all pages of the host, and all are if
    the page has no slot that is. Texts that belong
    to the root outside an article are part of the template and no content.
@@ -49,7 +51,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|<",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 #: Fixed values of HTML: elements without content, elements that start a block, elements that can hold others.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,24 +63,68 @@ _FURNITURE = frozenset("aside button dialog footer form head label menu nav titl
 _WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets contentinfo complementary search".split()
 )
+#: Words of headers, which may hold an article's title.
+_HEADER = frozenset("header masthead banner".split())
+#: Parts of a name that leave the meaning to the others, and those that say what surrounds an element.
+_PLAIN = frozenset("area bar block bottom box button buttons container global group inner item items left link links list main outer page post posts right section site slot top unit wrap wrapper".split())
+_ASIDE = frozenset("has with no without is not".split())
+#: Elements inside a block whose name counts, up to their end; in texts and code some words say something else.
+_INLINE = frozenset("p span h1 h2 h3 h4 h5 h6 a b i em strong small font".split())
+_INLINE_WORDS = _WORDS - _HEADER - frozenset("comment comments replies search footer menu modal widget widgets contentinfo complementary".split())
+_WRAPPED = re.compile(r"<(?:h1|article|main)\b", re.I)
+
+
+def _marks(attributes: str) -> tuple[set[str], set[str], bool]:
+    """Furniture words of an element's names: those that a whole name means, all of them; whether it is named main."""
+    whole: set[str] = set()
+    some: set[str] = set()
+    main = False
+    for n in _NAMED.finditer(attributes):
+        for name in (n[2] or n[3] or n[4] or "").lower().split():
+            main = main or name == "main"
+            parts = [w for w in re.split(r"[^a-z]+", name) if w]
+            mark = _WORDS.intersection(parts)
+            if not mark or parts[0] in _ASIDE:
+                continue
+            some |= mark
+            if all(w in _WORDS or w in _PLAIN for w in parts):
+                whole |= mark
+    return whole, some, main
 
 
 class _Page:
     """Reads a page: yields (kind, token key, furniture, in article, text) with kind 'tag' or 'text'."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, trust: bool = False):
         self.html = html
+        #: Whether an article is content in furniture, too.
+        self.trust = trust
+        self.form = (0, False)
+        self.body = -1
+
+    def wraps(self, at: int) -> bool:
+        """Whether the form that begins here is around the page and not a part of it."""
+        if at >= self.form[0]:
+            end = re.compile(r"</form\b", re.I).search(self.html, at)
+            end = end.start() if end else len(self.html)
+            if self.body < 0:
+                body = re.search(r"<body\b", self.html, re.I)
+                self.body = body.start() if body else 0
+            most = (end - at) * 2 > len(self.html) - self.body
+            self.form = (end, bool(_WRAPPED.search(self.html, at, end)) or (most and re.compile(r"<(?:div|p|table)\b", re.I).search(self.html, at, end) is not None))
+        return self.form[1]
 
     def tokens(self) -> Iterator[tuple[str, str, bool, bool, str, str]]:
-        # name, furniture, in article, path, number of children by name
-        stack: list[tuple[str, bool, bool, str, dict[str, int]]] = []
+        # name, furniture (2: an article does not end it), in article, path, number of children by name
+        stack: list[tuple[str, int, bool, str, dict[str, int]]] = []
         top: dict[str, int] = {}
-        path, furniture, article, links = "", False, False, 0
+        path, furniture, article, links = "", 0, False, 0
+        mute, level = "", 0  # the element inside a block that is furniture
         for m in _TOKEN.finditer(self.html):
             text = "<" if m[0] == "<" else m[5]
             if text is not None:
                 if not text.isspace():
-                    yield "text", path, furniture, article, text, "a" if links > 0 else ""
+                    yield "text", path, bool(furniture or mute), article, text, "a" if links > 0 else ""
                 continue
             name = m[3]
             if not name:
@@ -86,29 +132,48 @@ class _Page:
             name = name.lower()
             if name == "a":
                 links = 0 if m[2] else 1
+            if mute:
+                if name == mute and (m[2] or name not in _BLOCK):
+                    level += -1 if m[2] else 1
+                    mute = mute if level else ""
+                elif name in _BLOCK or name in _CONTAINER:
+                    mute = ""
+            named = not m[2] and m[4] and "=" in m[4]
             if name not in _CONTAINER:
-                yield "tag", f"{path}|{m[2]}{name}", furniture, article, "", name
+                if named and not mute and name in _INLINE and _INLINE_WORDS & _marks(m[4])[0]:
+                    mute, level = name, 1
+                yield "tag", f"{path}|{m[2]}{name}", bool(furniture or mute), article, "", name
                 continue
             if m[2]:
                 depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name), -1)
-                yield "tag", f"{stack[depth][3] if depth >= 0 else path}|/{name}", furniture, article, "", name
+                yield "tag", f"{stack[depth][3] if depth >= 0 else path}|/{name}", bool(furniture), article, "", name
                 if depth >= 0:
                     del stack[depth:]
-                    path, furniture, article = stack[-1][3] if stack else "", bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]
+                    path, furniture, article = stack[-1][3] if stack else "", stack[-1][1] if stack else 0, bool(stack) and stack[-1][2]
                 continue
-            words = set()
-            if m[4] and "=" in m[4]:
-                for n in _NAMED.finditer(m[4]):
-                    words |= set(re.split(r"[^a-z]+", (n[1] or n[2] or n[3] or "").lower()))
-            mark = words & _WORDS
-            article = article or (name in ("article", "main") or "main" in words)
-            furniture = furniture or name in _FURNITURE or (name == "header" and not article) or (bool(mark) and name not in ("html", "body", "article", "main"))
+            whole, some, main = _marks(m[4]) if named else ((), (), False)
+            mark = some
+            if name in ("html", "body"):
+                pass
+            elif name == "main" or (main and name not in _FURNITURE and not whole):
+                article, furniture = True, 0
+            elif name == "article":
+                furniture = 0 if self.trust or furniture < 2 else furniture
+                article = True
+            elif name == "header" or (whole and _HEADER.issuperset(whole)):
+                furniture = furniture or (0 if article else 1)
+            elif name == "form":
+                furniture = furniture or (0 if self.wraps(m.start()) else 1)
+            elif name in _FURNITURE or whole:
+                furniture = 2
+            elif some and not article:
+                furniture = furniture or 1
             counts = stack[-1][4] if stack else top
             counts[name] = counts.get(name, 0) + 1
             path = f"{path}/{name}{'.' + min(mark) if mark else ''}{counts[name] if counts[name] > 1 else ''}"
             links = 0
             stack.append((name, furniture, article, path, {}))
-            yield "tag", path, furniture, article, "", name
+            yield "tag", path, bool(furniture), article, "", name
 
 
 def _clean(parts: list[str]) -> str:
@@ -248,11 +313,11 @@ def _known(known: dict[str, dict], host: str, template: pa.Scalar, slots: pa.Sca
     return found
 
 
-def extract(html: str, template: dict[int, dict] | None = None) -> str:
+def extract(html: str, template: dict[int, dict] | None = None, trust: bool = False) -> str:
     """Main text of one page; ``template``: the root tokens of its host by token (slot, text, article, rich, links)."""
     slots = template or {}
-    tokens = list(_Page(html).tokens())
-    own_article = any(t[3] for t in tokens)
+    tokens = list(_Page(html, trust).tokens())
+    own_article = any(t[3] and not t[2] and t[0] == "text" for t in tokens)
     # the page's own tokens choose its layout
     at = [slots.get(_hash(f"{t[1]}#{' '.join(t[4].split())}" if t[0] == "text" else t[1])) if slots and (t[0] == "text" or t[5] in _CONTAINER) else None for t in tokens]
     judged = not own_article and any(slot and slot["rich"] for slot in at)
@@ -280,6 +345,8 @@ def extract(html: str, template: dict[int, dict] | None = None) -> str:
         elif name in _CONTAINER and not links and "|" not in key:
             rich = True  # a container that no layout knows, and not in a list of links
     close()
+    if not blocks and not trust and any(t[3] for t in tokens):
+        return extract(html, template, True)  # a name on what is around the page
     return "\n".join(blocks)
 
 
