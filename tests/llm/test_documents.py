@@ -357,6 +357,26 @@ def test_host_of_articles_with_a_page_without(spark):
     assert extracted(spark, pages) == [story(i, 0) for i in range(5)]
 
 
+def test_template_inside_articles(spark):
+    """Lines that all articles of a host repeat and lists of links inside them go; copies, short texts and articles of links stay."""
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{k}'>Another tale {n * 7 + k}</a></li>" for k in range(2 + n % 3)) + "</ul>"
+    body = lambda i: f"<h1>Tale {i}</h1>" + "".join(f"<p>{story(i, k)}</p>" for k in range(4 + i % 3))
+    text = lambda i: "\n".join([f"Tale {i}", *(story(i, k) for k in range(4 + i % 3))])
+    around = lambda inside: f"<html><head><title>Site</title></head><body><article>{inside}</article></body></html>"
+    pages = [around(f"{body(i)}{links(i)}<p>Write to us for more tales.</p>") for i in range(6)]
+    assert extracted(spark, pages) == [text(i) for i in range(6)]
+    assert extracted(spark, [around(body(1))] * 4) == [text(1)] * 4
+    assert all(extracted(spark, [around(links(i)) for i in range(5)]))
+
+
+def test_records_nest_in_slots(spark):
+    """Links and paragraphs in one div: each class of records decides for itself; inline tags make no records."""
+    items = lambda i: "".join(f"<dt><a href='/{k}'>Link number {k} of page {i} in a long list of links to other tales</a></dt>" for k in range(3 + i % 2))
+    paragraphs = lambda i: [f"{i}.{k}: {story(i, k)}" for k in range(2 + i % 3)]
+    pages = [f"<html><body><div>{items(i)}{''.join(f'<p><b>{p[:3]}</b>{p[3:]}</p>' for p in paragraphs(i))}</div></body></html>" for i in range(6)]
+    assert extracted(spark, pages) == ["\n".join(paragraphs(i)) for i in range(6)]
+
+
 def test_vectors_merge(spark):
     html = [page(f"<p>{'text ' * i}</p>", f"t{i}") for i in range(1, 9)]
     df = spark.createDataFrame([("h", i, h) for i, h in enumerate(html)], "host string, page long, html string")

@@ -5,19 +5,20 @@
 2. Occurrence vectors. The vector of a token says how often it occurs on each page of a host. It is kept as a digest: the
    exclusive or over the pages of a hash of (page, number of times), with the number of pages and of occurrences. Digests of
    parts merge, so hosts of any size are counted with map-side combination and no page is gathered.
-3. Equivalence classes. Tokens of a host with equal vectors form a class; it is valid with at least ``CLASS`` tags and
-   ``SUPPORT`` pages. The classes that occur once a page are the roots of the host's layouts: what all pages share and what each layout
-   adds; a page's own tokens choose among them. On less than ``ROOT_SHARE`` of the pages a class must not hold more texts than
-   tags, else it is a group of copies; classes with several
-   occurrences a page nest in the slots between root tokens (lists of links, paragraphs) and split nothing.
+3. Equivalence classes. Tokens of a host with equal vectors form a class; it is valid on at least ``SUPPORT`` pages. The classes
+   of at least ``CLASS`` tags that occur once a page are the roots of the host's layouts: what all pages share and what each
+   layout adds; a page's own tokens choose among them. On less than ``ROOT_SHARE`` of the pages a root must not hold more texts
+   than tags, else it is a group of copies. Classes of at least ``CLASS`` tokens of one container with several occurrences a
+   page are records (items of a list, paragraphs) nested in the slots, if they begin with a block.
 4. Slots. Between consecutive root tokens of containers lies a slot; a second reading of the pages sums its text and linked
-   text, whatever other tags it holds. Slots in menus, headers, footers, sidebars, notices, adverts, forms,
-   scripts, styles and comments are page furniture, by their element or
-   by their names: an article ends what one word of a longer name or a form around it says, main ends all, and inside an
-   article a name must mean furniture as a whole, and not a header; if the page has an article or main element, what lies outside is furniture,
-   too; else slots are content by their amount of text and share of link text over all pages of the host, and all are if
-   the page has no slot that is. Texts that belong
-   to the root outside an article are part of the template and no content.
+   text, whatever other tags it holds, and that of each nested class. A slot is content if it has enough text over all pages of
+   the host and links are the lesser part; a record that is decides for itself, and so does one of links. If no slot of a
+   page is content, all are. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are page
+   furniture, by their element or by their names: an article ends what one word of a longer name or a form around it says,
+   main ends all, and inside an article a name must mean furniture as a whole, and not a header. If the page has an article
+   or main element, what lies outside is furniture, too; inside, slots and records of links are none of the text, short ones
+   stay. Texts of the classes are part of the template and no content. An article of which the template takes more than half
+   is left whole.
 5. Extraction. Each page is read once more; the texts of its content slots make blocks.
 
 Hosts with fewer than ``SUPPORT`` pages have no template; the same rules are then applied to the page's own elements.
@@ -191,19 +192,20 @@ def _digest(key: str) -> bytes:
 
 
 def page_counts(html: str) -> dict[str, list]:
-    """For each token of a page: occurrences, furniture, in article, opens or ends a container, first position."""
+    """For each token of a page: occurrences, furniture, in article, opens or ends a container, first position, kind, container."""
     found: dict[str, list] = {}
     for at, (kind, key, furniture, article, text, name) in enumerate(_Page(html).tokens()):
+        base = key.partition("|")[0]
         if kind == "text":
             key = f"{key}#{' '.join(text.split())}"
         entry = found.get(key)
         if entry is None:
-            entry = found[key] = [0, furniture, article, kind == "tag" and name in _CONTAINER, at, kind]
+            entry = found[key] = [0, furniture, article, kind == "tag" and name in _CONTAINER, at, kind, base]
         entry[0] += 1
     return found
 
 
-COUNTS = "host string, token long, digest long, pages long, times long, ahead long, text boolean, furniture boolean, article boolean, container boolean, name string"
+COUNTS = "host string, token long, digest long, pages long, times long, ahead long, text boolean, furniture boolean, article boolean, container boolean, base long, name string"
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
@@ -213,21 +215,21 @@ def token_counts(pages: DataFrame) -> DataFrame:
         held: dict[tuple[str, str], list] = {}
 
         def flush():
-            rows = [(h, _hash(k), *v[:4], v[4] == "text", *v[5:], None if v[4] == "text" else k[-60:]) for (h, k), v in held.items()]
+            rows = [(h, _hash(k), *v[:4], v[4] == "text", *v[5:8], _hash(v[8]), None if v[4] == "text" else k[-60:]) for (h, k), v in held.items()]
             held.clear()
-            types = (pa.string(), *[pa.int64()] * 5, *[pa.bool_()] * 4, pa.string())
-            names = ("host", "token", "digest", "pages", "times", "ahead", "text", "furniture", "article", "container", "name")
+            types = (pa.string(), *[pa.int64()] * 5, *[pa.bool_()] * 4, pa.int64(), pa.string())
+            names = ("host", "token", "digest", "pages", "times", "ahead", "text", "furniture", "article", "container", "base", "name")
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], list(names))
 
         for b in batches:
             hosts, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
             for host, page, html in zip(hosts, keys, b.column(2)):
-                for key, (n, furniture, article, container, at, kind) in page_counts(html.as_py()).items():
+                for key, (n, furniture, article, container, at, kind, base) in page_counts(html.as_py()).items():
                     mixed = ((page ^ (n * 0x9E3779B97F4A7C15)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
                     mixed = (mixed ^ (mixed >> 32)) - (1 << 63)
                     v = held.get((host, key))
                     if v is None:
-                        held[host, key] = [mixed, 1, n, at, kind, furniture, article, container]
+                        held[host, key] = [mixed, 1, n, at, kind, furniture, article, container, base]
                     else:
                         v[0] ^= mixed
                         v[1] += 1
@@ -240,7 +242,7 @@ def token_counts(pages: DataFrame) -> DataFrame:
 
     parts = pages.mapInArrow(run, COUNTS)
     return parts.groupBy("host", "token").agg(
-        F.bit_xor("digest").alias("digest"), *[F.sum(c).alias(c) for c in ("pages", "times", "ahead")], *[F.max(c).alias(c) for c in ("text", "furniture", "article", "container", "name")]
+        F.bit_xor("digest").alias("digest"), *[F.sum(c).alias(c) for c in ("pages", "times", "ahead")], *[F.max(c).alias(c) for c in ("text", "furniture", "article", "container", "base", "name")]
     )
 
 
@@ -254,22 +256,43 @@ def templates(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     # a class of texts and few tags is a group of copies and no layout
     groups = once.groupBy("host", "digest", "pages", "n").agg(F.count_if("text").alias("texts"), F.count_if(~F.col("text")).alias("tags"))
     roots = groups.where((F.col("tags") >= CLASS) & ((F.col("pages") >= F.col("n") * ROOT_SHARE) | (F.col("texts") <= F.col("tags")))).select("host", "digest", "pages")
-    tokens = once.join(roots, ["host", "digest", "pages"]).where("text OR container").select("host", F.struct("token", F.when(~F.col("text"), F.col("token")).alias("slot"), "text", "article").alias("t"))
+    root = once.join(roots, ["host", "digest", "pages"]).where("text OR container").select("host", "token", F.when(~F.col("text"), F.col("token")).alias("slot"), "text", F.lit(False).alias("nested"), F.lit(False).alias("last"))
+    # classes with several occurrences a page: records inside a container, from a block's tag on
+    many = some.where("times > pages AND NOT container")
+    tag = F.when(~F.col("text"), F.col("ahead") / F.col("pages"))
+    records = many.groupBy("host", "digest", "pages", "times", "base").agg(F.count(F.lit(1)).alias("size"), F.min_by("name", tag).alias("first"), F.max_by("token", tag).alias("end")).where(F.col("size") >= CLASS)
+    records = records.where(F.regexp_extract("first", r"\|([a-z0-9]+)$", 1).isin(sorted(_BLOCK))).select("host", "digest", "pages", "times", "base", "end")
+    nested = many.join(records, ["host", "digest", "pages", "times", "base"]).select("host", "token", F.when(~F.col("text"), F.xxhash64("digest", "times", "base")).alias("slot"), "text", ~F.col("text"), F.col("token") == F.col("end"))
+    tokens = root.union(nested).select("host", F.struct("token", "slot", "text", "nested", "last").alias("t"))
     return tokens.groupBy("host").agg(F.array_sort(F.collect_list("t")).alias("template"))
 
 
+def _slots(tokens: list[tuple], template: dict[int, dict]) -> list[dict | None]:
+    """The template's entry of each token of a page, if there is one."""
+    nested = any(t["nested"] for t in template.values())
+    return [template.get(_hash(f"{t[1]}#{' '.join(t[4].split())}" if t[0] == "text" else t[1])) if template and (nested or t[0] == "text" or t[5] in _CONTAINER) else None for t in tokens]
+
+
 def slot_texts(html: str, template: dict[int, dict]) -> dict[int, list[int]]:
-    """Text and linked text of a page by slot: all that stands between one root token and the next, but for template texts."""
+    """Text and linked text of a page by slot: all that stands between one root token and the next, but for template texts.
+
+    What stands in a record counts for its class and for the slot around it.
+    """
     found: dict[int, list[int]] = {}
-    slot = None
-    for kind, key, furniture, _, text, name in _Page(html).tokens():
+    slot = inner = None
+    tokens = list(_Page(html).tokens())
+    for (kind, _, furniture, _, text, name), t in zip(tokens, _slots(tokens, template)):
         if kind == "tag":
-            if name in _CONTAINER and (t := template.get(_hash(key))):
-                slot = found.setdefault(t["slot"], [0, 0])
-        elif slot is not None and not furniture and _hash(f"{key}#{' '.join(text.split())}") not in template:
+            if t and t["nested"]:
+                inner = None if t["last"] else found.setdefault(t["slot"], [0, 0])
+            elif t:
+                slot, inner = found.setdefault(t["slot"], [0, 0]), None
+        elif not furniture and not t:
             n = len(" ".join(text.split()))
-            slot[0] += n
-            slot[1] += n if name else 0
+            for v in (slot, inner):
+                if v is not None:
+                    v[0] += n
+                    v[1] += n if name else 0
     return found
 
 
@@ -314,42 +337,63 @@ def _known(known: dict[str, dict], host: str, template: pa.Scalar, slots: pa.Sca
 
 
 def extract(html: str, template: dict[int, dict] | None = None, trust: bool = False) -> str:
-    """Main text of one page; ``template``: the root tokens of its host by token (slot, text, article, rich, links)."""
-    slots = template or {}
+    """Main text of one page; ``template``: the tokens of its host by token (slot, text, nested, last, rich, links)."""
     tokens = list(_Page(html, trust).tokens())
     own_article = any(t[3] and not t[2] and t[0] == "text" for t in tokens)
     # the page's own tokens choose its layout
-    at = [slots.get(_hash(f"{t[1]}#{' '.join(t[4].split())}" if t[0] == "text" else t[1])) if slots and (t[0] == "text" or t[5] in _CONTAINER) else None for t in tokens]
-    judged = not own_article and any(slot and slot["rich"] for slot in at)
+    at = _slots(tokens, template or {})
+    judged = any(slot and slot["rich"] for slot in at)
+    if own_article and template:
+        # in an article short slots stay, and template texts and links are the lesser part, else they are what the page is about
+        chars = [0, 0]
+        for n, dropped in _kept(tokens, at, True, False):
+            chars[dropped] += len(tokens[n][4])
+        if chars[True] > chars[False]:
+            at = [None] * len(tokens)
+    kept = {n for n, dropped in _kept(tokens, at, own_article, judged) if not dropped}
     blocks: list[str] = []
     parts: list[str] = []
-    rich, links = True, False
 
     def close() -> None:
         if parts and (block := _clean(parts)):
             blocks.append(block)
         parts.clear()
 
-    for (kind, key, furniture, article, text, name), slot in zip(tokens, at):
+    for n, (kind, _, _, _, text, name) in enumerate(tokens):
         if kind == "text":
-            if furniture or (own_article and not article) or (slot and not article) or (judged and not rich):
-                continue
-            parts.append(text)
-            continue
-        if name == "br":
+            if n in kept:
+                parts.append(text)
+        elif name == "br":
             parts.append(" ")
         elif name in _BLOCK:
             close()
-        if slot:
-            rich, links = slot["rich"], slot["links"]
-        elif name in _CONTAINER and not links and "|" not in key:
-            rich = True  # a container that no layout knows, and not in a list of links
     close()
     if not blocks and not trust and any(t[3] for t in tokens):
         return extract(html, template, True)  # a name on what is around the page
     return "\n".join(blocks)
 
 
+def _kept(tokens: list[tuple], at: list[dict | None], own_article: bool, judged: bool) -> Iterator[tuple[int, bool]]:
+    """The texts outside furniture by position, and whether the template says that they are no content."""
+    rich, links, inner = True, False, None
+    for n, ((kind, key, furniture, article, _, name), slot) in enumerate(zip(tokens, at)):
+        if kind == "text":
+            if furniture or (own_article and not article):
+                continue
+            if inner is not None and (inner["rich"] or inner["links"]):
+                yield n, bool(slot) or (inner["links"] and not inner["rich"] and (own_article or judged))
+            else:
+                yield n, bool(slot) or (links if own_article else judged and not rich)
+        elif slot and slot["nested"]:
+            inner = None if slot["last"] else slot
+        elif slot:
+            rich, links, inner = slot["rich"], slot["links"], None
+        elif name in _CONTAINER:
+            inner = None
+            if not links and "|" not in key:
+                rich = True  # a container that no layout knows, and not in a list of links
+
+
 def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
