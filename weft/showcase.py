@@ -202,6 +202,19 @@ EXAMPLES: dict[str, Example] = {
         f"SELECT r, n, c, answer FROM (SELECT r, n, 'Tuple ' || (row_number() OVER (ORDER BY r, n) - 1) AS answer FROM {_edges('Nation_Region', 'n', 'r')} t) JOIN {_edges('Customer_Nation', 'c', 'n')} u USING (n) WHERE c < 40",
         "r,n,answer,c",
     ),
+    # the same without bounds on ids: over all orders, customers and users
+    "cycle_project_all": _rows("o, c, s", OC, CN, SN, IS),
+    "events_types_all": _rows("e, u, ty", ("Event_User", "e", "u"), ("Event_Type", "e", "ty"), where="EQ(ty,'click')", sql_where="ty = 'click'"),
+    "llm_demo_mid_all": Example(
+        f"Q(n, name, answer, c) := Nation_Name(n,name), answer = LLM_MAP({_DEMO}), Customer_Nation(c,n)",
+        f"SELECT n, name, answer, c FROM (SELECT n, name, 'Tuple ' || (row_number() OVER (ORDER BY n, name) - 1) AS answer FROM {_edges('Nation_Name', 'n', 'name')} t) JOIN {_edges('Customer_Nation', 'c', 'n')} u USING (n)",
+        "n,name,answer,c",
+    ),
+    "llm_demo_tree_all": Example(
+        f"Q(r, n, c, answer) := Nation_Region(n,r), answer = LLM_MAP({_TREE}), Customer_Nation(c,n)",
+        f"SELECT r, n, c, answer FROM (SELECT r, n, 'Tuple ' || (row_number() OVER (ORDER BY r, n) - 1) AS answer FROM {_edges('Nation_Region', 'n', 'r')} t) JOIN {_edges('Customer_Nation', 'c', 'n')} u USING (n)",
+        "r,n,answer,c",
+    ),
 }
 
 
