@@ -205,6 +205,13 @@ def test_sketches_estimate_likeness_and_containment(spark):
     assert whole.sk == sorted(set(b.sk) | set(c.sk))
 
 
+def test_sketches_of_short_texts(spark):
+    """Texts of 12 words have 8 shingles: 0.75 ** 8, a tenth, have no sketch (a third at a fraction of 1/8)."""
+    rnd = random.Random(5)
+    df = fingerprints.sketched(frame(spark, [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(12))) for i in range(1000)]), "text", "sk", "sq")
+    assert 0.06 < df.where("size(sk) = 0").count() / 1000 < 0.15
+
+
 # -- archives
 
 

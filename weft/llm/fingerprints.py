@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, stored, text_bytes
 
 WORDS = 5
-FRACTION = 1 / 8
+FRACTION = 1 / 4
 _LEAST = -(1 << 63)
 
 
