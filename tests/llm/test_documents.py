@@ -88,6 +88,56 @@ def test_chains_and_crossing_components(spark):
     assert got == brute_near(rows, 2)
 
 
+def test_one_large_group_around_the_threshold(spark):
+    """Mutual similarities scatter around 0.8; the block's rows, not its pairs, leave the task."""
+    rnd = random.Random(4)
+    base = [f"x{i}" for i in range(70)]
+    rows = []
+    for i in range(1200):
+        w = list(base)
+        for j in rnd.sample(range(70), rnd.choice([2, 3, 4])):
+            w[j] = f"y{rnd.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link_classes(frame(spark, rows).repartition(5), k=2).collect()}
+    assert got == brute_near(rows, 2)
+
+
+@pytest.mark.parametrize("halves", [False, True])
+def test_links_of_a_block_are_a_spanning_forest(halves):
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 2**62, 90).astype(np.uint64)
+    sets = []
+    for _ in range(150):
+        s = base.copy() if rnd.random() < 0.8 else rnd.integers(0, 2**62, 90).astype(np.uint64)
+        s[rnd.choice(90, rnd.integers(2, 14), replace=False)] = rnd.integers(0, 2**62)
+        sets.append(np.unique(s))
+    doc = np.repeat(np.arange(150), [len(s) for s in sets])
+    regs = near_dedup.sketches(150, doc, np.concatenate(sets))
+    comp, own = rnd.integers(0, 120, 150), rnd.integers(0, 2, 150)
+    links = near_dedup.spanning_links(np.arange(150), comp, own if halves else None, regs, sets, 0.8)
+    root = dict(enumerate(comp.tolist()))
+
+    def merged(pairs):
+        of = {c: c for c in root.values()}
+        for a, b in pairs:
+            x, y = of[root[a]], of[root[b]]
+            of = {c: x if r == y else r for c, r in of.items()}
+        groups = {}
+        for c, r in of.items():
+            groups.setdefault(r, set()).add(c)
+        return {frozenset(g) for g in groups.values()}
+
+    every = []
+    for a in range(150):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if (not halves or own[a] != own[b]) and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                every.append((a, b))
+    assert set(map(frozenset, links)) <= set(map(frozenset, every))
+    assert merged(links) == merged(every)
+    assert len(links) == len(set(comp.tolist())) - len(merged(every))
+
+
 def test_near_duplicates_defined_cases(spark):
     assert near_dedup.link_classes(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]

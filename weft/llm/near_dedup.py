@@ -11,18 +11,18 @@ with a probability below 1e-7. Documents with equal shingle sets are one class a
 
 1. In each bucket the smallest class is a star's centre; every other member keeps its likeliest centre (estimated from
    the registers by maximum likelihood), at most one pair per class, and the pair is verified. Components are formed.
-2. Buckets that still hold several components are compared in blocks of registers (numpy, at most about ``BLOCK`` x ``BLOCK``).
-   In each of ``ROUNDS`` rounds every class outside its bucket's largest component names its likeliest partner of another
-   component, one pair per class is verified, and components are formed again: groups of thousands grow together with as many pairs as they have members.
-3. What then still holds several components gets every cross-component pair whose likelihood estimate reaches the threshold
-   less ``SLACK``: these are the pairs of different groups that look alike. A component that already holds both ends needs no
-   further link, so copies are never expanded into all pairs.
+2. Buckets that still hold several components are compared in pairs of blocks (``BLOCK`` classes each). First on registers: a
+   class is named if its likelihood estimate with a class of another component reaches the threshold less ``SLACK``; a pair
+   counts in the first band that it shares. Then the whole sets of the named classes are sent to their blocks, every pair is
+   verified there, and each block gives a spanning forest of its links: pairs that it has joined already need none. So what
+   leaves a task is at most one row for each class of a block, and no list of pairs is ever made.
+3. Components are formed again from all links.
 
-Verification compares the whole shingle sets of both texts. Nothing is capped.
+Verification compares whole shingle sets, as sets of 64-bit hashes of the shingles. Nothing is capped.
 
 Defined cases: null, empty and wordless texts have no shingles and are linked with nothing; texts with fewer words than
-a shingle are one shingle; rows that repeat an id are judged one by one, links count if any text of an id has them;
-null ids are reported alone; an empty table gives an empty one.
+a shingle are one shingle; rows that repeat an id are judged one by one, links count if any text of an id has them; null ids
+are reported alone; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -47,8 +47,9 @@ BASE = 1.02
 TOP = 2000
 #: Standard error of the estimate at 0.8 is 0.035; pairs down to four of them below the threshold are verified.
 SLACK = 0.14
-BLOCK = 4096
-ROUNDS = 2
+#: Classes, and shingles, in a block of a bucket that is compared pair by pair (a task holds two at a time).
+BLOCK = 2048
+BLOCK_SHINGLES = 1 << 22
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -165,17 +166,23 @@ def sketch(docs: DataFrame, k: int, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, set_hash binary, regs binary")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough; ``texts``: (id, text), one row for each id."""
-    # texts that no pair names are kept from the shuffle by a bitmap of bounded size; what it lets through finds no partner
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bits = pairs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64("id").alias("key")), "key", 2 * pairs.count()))
+def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with one of the distinct ``ids``, and a few others.
+
+    Texts that are not named are kept from the shuffle by a bitmap of bounded size; what it lets through finds no partner.
+    """
+    bits = ids.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64("id").alias("key")), "key", ids.count()))
 
     @F.pandas_udf("boolean")
     def named(keys: pd.Series) -> pd.Series:
         return pd.Series(in_filter(bits.value, keys.to_numpy().view(np.uint64)))
 
-    some = texts.where(F.col("id").isNotNull() & named(F.xxhash64("id")))
+    return texts.where(F.col("id").isNotNull() & named(F.xxhash64("id")))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar enough; ``texts``: (id, text), one row for each id."""
+    some = _of_ids(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     left = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     per_cent = round(threshold * 100)
@@ -195,71 +202,23 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
-def _in_largest(run: np.ndarray, comp: np.ndarray) -> np.ndarray:
-    """Which rows are in the component that most rows of their run are in (of several the smallest)."""
-    order = np.lexsort((comp, run))
-    r, c = run[order], comp[order]
-    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])])) if len(r) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(r)))
-    best = np.lexsort((c[first], -size, r[first]))
-    opens = np.concatenate([[True], r[first][best][1:] != r[first][best][:-1]]) if len(best) else np.zeros(0, bool)
-    largest = np.zeros(int(run.max()) + 1 if len(run) else 0, np.int64)
-    largest[r[first][best][opens]] = c[first][best][opens]
-    return comp == largest[run]
+def _blocks(held: DataFrame, part: DataFrame) -> DataFrame:
+    """(key, x, y, own, c, component, band) of the buckets that hold several components, dealt to pairs of blocks (x, y).
 
+    ``own`` is the block of the class itself. A block holds about ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles at most.
+    """
+    placed = held.join(part.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "band", "c", "n", F.coalesce("component", "c").alias("component"))
+    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = placed.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "band", "c", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "c", "component", "band")
 
-def _cross(held: DataFrame, part: DataFrame, reps: DataFrame, threshold: float, every: bool) -> DataFrame:
-    """(c, partner, est) of classes that share a bucket, not a component, and look similar enough.
 
-    ``every``: all such pairs, c the smaller; otherwise for each class that is not in the largest component of its block the
-    likeliest partner there (of any two linked classes of different components one is such a class).
-    """
-    need = threshold - SLACK
-    placed = held.join(part.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
-    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    dealt = placed.join(open_, "key").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = dealt.select("key", "c", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "c", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    full = dealt.join(reps, "c").select("key", "x", "y", "own", "c", "component", "n", "regs")
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        key, x, y, own, c, comp, n = (t.column(k).to_numpy() for k in ("key", "x", "y", "own", "c", "component", "n"))
-        regs = _registers(t.column("regs").combine_chunks())
-        rows = len(c)
-        run = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-        longest = int(np.bincount(run).max()) if rows else 0
-        top, partner = np.zeros(rows, np.int64), np.full(rows, -1)
-        left, right = [], []
-        for d in range(1, longest):  # partners d rows apart, over all runs at once
-            i = np.flatnonzero(run[d:] == run[:-d])
-            j = i + d
-            ok = (comp[i] != comp[j]) & ((x[i] == y[i]) | (own[i] != own[j])) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
-            i, j = i[ok], j[ok]
-            same = (regs[i] == regs[j]).sum(axis=1)
-            ok = same >= M * (need - SLACK)
-            i, j, same = i[ok], j[ok], same[ok]
-            if every:
-                left.append(i)
-                right.append(j)
-            else:  # i and j are each distinct here
-                for p, q in ((i, j), (j, i)):
-                    better = same > top[p]
-                    top[p[better]], partner[p[better]] = same[better], q[better]
-        if every:
-            i, j = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
-            i, j = np.where(c[i] < c[j], i, j), np.where(c[i] < c[j], j, i)
-            _, first = np.unique(np.stack([c[i], c[j]]), axis=1, return_index=True)  # a pair may share several buckets
-            i, j = i[first], j[first]
-        else:
-            i = np.flatnonzero((partner >= 0) & ~_in_largest(run, comp))
-            j = partner[i]
-        est = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) if len(i) else np.zeros(0)
-        ok = est >= need
-        return pa.RecordBatch.from_arrays([pa.array(c[i[ok]]), pa.array(c[j[ok]]), pa.array(est[ok])], ["c", "partner", "est"])
-
-    def run_blocks(batches):
+def _by_block(rows: DataFrame, each, schema: str) -> DataFrame:
+    """``each`` on runs of whole blocks: Arrow tables ordered by (key, x, y)."""
+
+    def run(batches):
         held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
@@ -268,14 +227,138 @@ def _cross(held: DataFrame, part: DataFrame, reps: DataFrame, threshold: float,
             other = key != key[-1]
             last = len(key) - int(np.argmax(other[::-1])) if other.any() else 0
             if last:
-                yield pairs(pa.Table.from_batches([*held, b.slice(0, last)]))
+                yield from each(pa.Table.from_batches([*held, b.slice(0, last)]))
                 held = []
             held.append(b.slice(last))
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield from each(pa.Table.from_batches(held))
+
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(spread, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, schema)
+
+
+def _runs(t: pa.Table) -> np.ndarray:
+    """The number of the block that each row is in."""
+    key, x, y = (t.column(k).to_numpy() for k in ("key", "x", "y"))
+    return np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+
 
-    spread = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(spread, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run_blocks, "c long, partner long, est double")
+def _named(blocks: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``blocks`` whose class looks similar enough to one of another component in its block.
+
+    A pair counts in the first band that both share, so that it is verified in one bucket. One row for each row at most.
+    """
+    need = threshold - SLACK
+
+    def each(t: pa.Table):
+        run = _runs(t)
+        own, c, comp, n, band = (t.column(k).to_numpy() for k in ("own", "c", "component", "n", "band"))
+        regs = _registers(t.column("regs").combine_chunks())
+        inner = t.column("x").to_numpy() == t.column("y").to_numpy()
+        named = np.zeros(len(c), bool)
+        left, right, pending = [], [], 0
+
+        def judge() -> None:
+            i, j = np.concatenate(left), np.concatenate(right)
+            left.clear()
+            right.clear()
+            unsure = ~(named[i] & named[j])
+            i, j = i[unsure], j[unsure]
+            if len(i):
+                alike = (regs[i] == regs[j]).reshape(len(i), BANDS, ROWS).all(axis=2)
+                first = alike.argmax(axis=1) == band[i]
+                i, j = i[first], j[first]
+            if len(i):
+                ok = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) >= need
+                named[i[ok]] = named[j[ok]] = True
+
+        for d in range(1, int(np.bincount(run).max()) if len(run) else 0):  # partners d rows apart, over all blocks at once
+            i = np.flatnonzero(run[d:] == run[:-d])
+            j = i + d
+            ok = (comp[i] != comp[j]) & (inner[i] | (own[i] != own[j])) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & ~(named[i] & named[j])
+            i, j = i[ok], j[ok]
+            ok = (regs[i] == regs[j]).sum(axis=1) >= M * (need - SLACK)
+            if ok.any():
+                left.append(i[ok])
+                right.append(j[ok])
+                pending += int(ok.sum())
+                if pending >= 1 << 14:
+                    judge()
+                    pending = 0
+        if left:
+            judge()
+        yield from t.select(["key", "x", "y", "own", "c", "component"]).filter(pa.array(named)).to_batches()
+
+    full = blocks.join(reps.select("c", "n", "regs"), "c").select("key", "x", "y", "own", "c", "component", "band", "n", "regs")
+    return _by_block(full, each, "key long, x int, y int, own int, c long, component long")
+
+
+def spanning_links(c: np.ndarray, comp: np.ndarray, own: np.ndarray | None, regs: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Verified pairs of one block that join its components: a spanning forest, as many links as components less one at most.
+
+    Every pair that may be similar is verified on the whole sets, but for pairs that earlier links of the block have
+    joined already. ``own``: of pairs in the same half nothing is asked (they meet elsewhere); None: all pairs.
+    """
+    per_cent, rows = round(threshold * 100), len(c)
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(size)
+    _, word = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(int(word.max()) + 1 if len(word) else 0, np.int32)
+    _, label = np.unique(comp, return_inverse=True)
+    parts, out = len(np.unique(label)), []
+    for i in range(rows - 1):
+        if parts < 2:
+            break
+        small, large = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
+        ok = (label[i + 1 :] != label[i]) & (100 * small >= per_cent * large)
+        if own is not None:
+            ok &= own[i + 1 :] != own[i]
+        j = i + 1 + np.flatnonzero(ok)
+        j = j[(regs[j] == regs[i]).sum(axis=1) >= M * (threshold - 2 * SLACK)] if len(j) else j
+        if not len(j):
+            continue
+        mine = word[ends[i] - size[i] : ends[i]]
+        mark[mine] = 1
+        first = np.cumsum(size[j]) - size[j]
+        common = np.add.reduceat(mark[np.concatenate([word[ends[k] - size[k] : ends[k]] for k in j.tolist()])], first)
+        mark[mine] = 0
+        for k in j[(100 * common >= per_cent * (size[i] + size[j] - common)) & (common > 0)].tolist():
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                parts -= 1
+                out.append((int(c[i]), int(c[k])))
+    return out
+
+
+def _forests(named: DataFrame, reps: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Verified links (a, b) between components, a spanning forest of each block; ``named``: rows of ``_named``, stored."""
+    ids = named.select(F.col("c").alias("id")).distinct()
+    some = stored(_of_ids(texts, ids), "texts")  # apart from the next step: one Python worker for each task at a time
+
+    def sets(batches):
+        for b in batches:
+            for first, n, _, h in shingle_sets(b.column("text"), k):
+                found = pa.array([x.tobytes() for x in np.split(h, np.cumsum(n)[:-1])], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(first, len(n)), found], ["c", "set"])
+
+    whole = some.select("id", "text").mapInArrow(sets, "c long, set binary")
+
+    def each(t: pa.Table):
+        run = _runs(t)
+        own, c, comp = (t.column(x).to_numpy() for x in ("own", "c", "component"))
+        inner = t.column("x").to_numpy() == t.column("y").to_numpy()
+        regs = _registers(t.column("regs").combine_chunks())
+        held = t.column("set").combine_chunks()
+        opens = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        out: list[tuple[int, int]] = []
+        for a, b in zip(opens.tolist(), [*opens[1:].tolist(), len(run)]):
+            found = [np.frombuffer(s.as_buffer(), np.uint64) for s in held.slice(a, b - a)]
+            out += spanning_links(c[a:b], comp[a:b], None if inner[a] else own[a:b], regs[a:b], found, threshold)
+        x, y = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    full = named.join(reps.select("c", "regs"), "c").join(whole, "c").select("key", "x", "y", "own", "c", "component", "regs", "set")
+    return _by_block(full, each, "a long, b long")
 
 
 def link_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,12 +375,13 @@ def link_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id: str =
             if not b.num_rows:
                 continue
             keys = band_keys(_registers(b.column("regs")))
-            c = np.repeat(b.column("c").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c), signed(keys.ravel())], ["c", "key"])
+            c, n = (np.repeat(b.column(x).to_numpy(), BANDS) for x in ("c", "n"))
+            band = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n), signed(keys.ravel()), pa.array(band)], ["c", "n", "key", "band"])
 
-    rows = reps.mapInArrow(buckets, "c long, key long").distinct()
+    rows = reps.mapInArrow(buckets, "c long, n long, key long, band int").distinct()
     shared = rows.groupBy("key").agg(F.min("c").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    held = cut(rows.join(shared, "key").select("key", "c", "centre"))
+    held = cut(rows.join(shared, "key").select("key", "band", "c", "n", "centre"))
 
     def with_registers(pairs: DataFrame) -> DataFrame:
         a = reps.select(F.col("c").alias("a"), F.col("regs").alias("regs_a"), F.col("n").alias("n_a"))
@@ -313,21 +397,12 @@ def link_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id: str =
     near = with_registers(stars).mapInArrow(estimated, "a long, b long, est double").where(F.col("est") >= threshold - SLACK)
     chosen = cut(near.groupBy("b").agg(F.max_by("a", F.struct("est", (-F.col("a")).alias("low"))).alias("a")).select("a", "b"))
     links = cut(_linked(chosen, texts, k, threshold))
+    del stars, near, chosen
+    release(docs.sparkSession)
     part = components(links)
-
-    for _ in range(ROUNDS):
-        best = _cross(held, part, reps, threshold, every=False)
-        chosen = cut(best.groupBy("c").agg(F.max_by("partner", F.struct("est", (-F.col("partner")).alias("low"))).alias("partner")).select(F.least("c", "partner").alias("a"), F.greatest("c", "partner").alias("b")).distinct())
-        more = cut(_linked(chosen, texts, k, threshold))
-        del best, chosen
-        release(docs.sparkSession)
-        if not more.limit(1).count():
-            break
-        links = links.union(more)
-        part = components(links)
-    rest = cut(_cross(held, part, reps, threshold, every=True).select(F.col("c").alias("a"), F.col("partner").alias("b")).distinct())
-    if rest.limit(1).count():
-        more = cut(_linked(rest, texts, k, threshold))
+    named = stored(_named(_blocks(held, part), reps, threshold), "named")
+    if named.limit(1).count():
+        more = cut(_forests(named, reps, texts, k, threshold))
         if more.limit(1).count():
             part = components(links.union(more))
     done = member.join(part.withColumnRenamed("node", "class"), "class", "left").select("id", "n", "set_hash", F.coalesce("component", "class").alias("component_id"))
