@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weft.llm import exact_dedup, language_id, mixing, packing, textscan, toxicity
 from weft.llm.common import components
@@ -242,6 +243,49 @@ def test_toxicity(spark):
     assert got[902] < 0.5 and got[903] < 0.5 and got[905] < 0.5
 
 
+def test_sentences():
+    assert toxicity.sentences('The stone, a STONE. "Is it paper?" yes\nwinter i d i o t m') == [["stone", "the"], ["paper"], ["yes"], ["winter"], ["idiotm"]]
+    assert toxicity.sentences(None) == toxicity.sentences(" .\n!") == []
+
+
+def test_sentences_of_texts_and_of_columns_agree():
+    """Margins of the two highest sentences, text by text and in runs of a column."""
+    rnd = random.Random(6)
+    parts = ["stone", "grumblewit", "nastibum.", 'winter!"', "a", "\n", "paper?", "...", "nas-ti-bum", "\t"]
+    texts = [" ".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(200)]
+    rows = [f"{rnd.choice(['stone paper', 'winter house'])} {'grumblewit nastibum' if i % 2 else 'garden'}" for i in range(60)]
+    m = toxicity.fit([toxicity.sentences(t) for t in rows], [i % 2 for i in range(60)])
+    own = []
+    for t in texts:
+        of = sorted((m.margins(x).max() for x in toxicity.sentences(t)), reverse=True)
+        own.append(m.probability(*(np.array([v]) for v in [*of, toxicity.NO_WORD, toxicity.NO_WORD][:2]))[0])
+    assert toxicity.Scorer(m)(pa.array(texts)).tolist() == pytest.approx(own)
+
+
+def test_toxicity_finds_unseen_forms_of_insults(spark):
+    """Forms with inserted letters and marks of which training holds none, at every place of every insult."""
+    rows, labels = toxic_docs(spark)
+    machine = toxicity.train(frame(spark, rows), labels)
+    unseen = [f"{w[:i]}{x}{w[i:]}" for w in ("dreadfool", "nastibum", "grumblewit") for i in range(2, len(w) - 1) for x in ("z", "*", "qk", "0")]
+    seen = {w for _, t in rows for w in t.split()}
+    assert not seen & set(unseen)
+    got = toxicity.Scorer(machine)(pa.array([f"water {w} paper. The winter garden" for w in unseen]))
+    assert (got >= 0.5).mean() >= 0.95
+    clean = toxicity.Scorer(machine)(pa.array([f"water {w} paper. The winter garden" for w in ("stones", "dreams", "grumble", "waters", "bumper", "fools", "letters")]))
+    assert (clean < 0.5).mean() >= 0.7
+
+
+def test_toxicity_defined_cases(spark):
+    rows, labels = toxic_docs(spark, 60)
+    twice = frame(spark, rows + rows).withColumn("score", F.lit("mine")).withColumn("SCORE_", F.lit(1))
+    out = toxicity.score(twice, toxicity.train(twice, labels.union(labels)))
+    assert out.columns[-1] == "_score" and {r.score for r in out.collect()} == {"mine"}
+    assert out.where("doc_id % 3 = 0 AND _score < 0.5 OR doc_id % 3 > 0 AND _score >= 0.5").count() <= 4
+    none = toxicity.train(frame(spark, [(1, None), (2, "")]), labels)
+    assert [r.score for r in toxicity.score(frame(spark, [(1, None), (2, "stone")]), none).select("score").collect()] == [0.0, 0.0] or none.constant is None
+    assert toxicity.score(frame(spark, []), none).count() == 0
+
+
 def test_toxicity_with_one_class(spark):
     rows, labels = toxic_docs(spark, 30)
     docs = frame(spark, rows)
@@ -274,7 +318,7 @@ def test_kernel_is_the_gapped_subsequence_kernel():
 
 def test_folded_scores_equal_kernel_scores(spark):
     rows, labels = toxic_docs(spark, 60)
-    m = toxicity.fit([toxicity.text_words(t) for _, t in rows], [int(i % 3 == 0) for i, _ in rows])
+    m = toxicity.fit([toxicity.sentences(t) for _, t in rows], [int(i % 3 == 0) for i, _ in rows])
     scorer = toxicity.Scorer(m)
     one = [scorer(pa.array([t]))[0] for _, t in rows]
     assert scorer(pa.array([t for _, t in rows])).tolist() == pytest.approx(one)

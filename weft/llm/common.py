@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -54,6 +55,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers are kept for later tasks, and so would be the memory."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """A column name that clashes with none of ``taken`` (Spark compares without case)."""
     used = {t.lower() for t in taken}

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, components, cut, in_filter, release, stored
+from .common import bit_filter, components, cut, give_back, in_filter, release, stored
 from .textscan import _span_hash, distinct_by_doc, mix, scan, signed
 
 M = 128
@@ -232,6 +232,8 @@ def _by_block(rows: DataFrame, each, schema: str) -> DataFrame:
             held.append(b.slice(last))
         if held:
             yield from each(pa.Table.from_batches(held))
+        held.clear()
+        give_back()
 
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(spread, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, schema)

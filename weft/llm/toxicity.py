@@ -2,26 +2,34 @@
 
 Kernel: two words are as alike as their common three-letter subsequences, gaps allowed: a subsequence that spans s
 letters weighs ``DECAY`` ** s, spans up to ``SPAN`` letters count, and the value is normalised by the self-kernels. Inserted
-or skipped letters only cost weight; inserted marks and digits are dropped. Words of less than three letters have none. Landmarks are words of the training sentences; the Nystrom map is
-k(x, landmarks) K^-1/2, and a linear SVM (hinge loss) is trained on it.
+or skipped letters only cost weight; inserted marks and digits are dropped. Words of less than three letters have none.
+A sentence is as alike to a landmark as its word that is most alike. Landmarks are words of the training sentences, half of
+them those whose share in toxic and clean texts differs most and half by hash; the Nystrom map is k(x, landmarks) K^-1/2, and a
+linear SVM (hinge loss) is trained on it.
 
-Training is multiple-instance: a toxic text has some toxic sentence, a clean text has none. A sentence is as toxic as
-its most toxic word; in every round the words of clean sentences are negatives, and of each toxic text the words
-that the last machine ranks highest in any sentence are the positives. A logistic curve over the two largest margins (the second if positive) of
-a text, fitted on the same rows, makes the score.
+Training is multiple-instance over sentences, as labels are of texts: every sentence of a clean text is clean, a toxic text
+has some toxic sentence. A sentence's margin is that of its most toxic word. In every round all words of clean sentences are
+negatives, and of each toxic text the sentences that the last machine ranks highest give their highest words as positives.
+A logistic curve over the margins of a text's two highest sentences (the second if positive), fitted on the same rows, makes
+the score. The fit runs in one task on the executors and returns the folded table.
 
 A kernel value is linear in the explicit subsequence vector of the new word, so landmarks, Nystrom map and SVM fold into
 one table of weights by subsequence: scoring is a gather and a sum for each distinct word of a batch.
 
-Bounds: at most ``TRAIN_ROWS`` labelled texts of each class (smallest hash of the id first), ``LANDMARKS`` landmarks.
+Bounds: at most ``TRAIN_ROWS`` labelled texts of each class (smallest hash of the id first), ``LANDMARKS`` landmarks; all words of
+the sampled texts are trained on.
 
 Defined cases: null, empty and wordless texts score as no margin at all (below 0.5); null ids and labels are not trained
-on; with one class only, every score is that class's share; words of any length are read whole, in overlapping windows.
+on; rows that repeat an id are trained on one by one; with one class only, every score is that class's share; words of any
+length are read whole, in overlapping windows; if the input has a column with the score's name, the score's gets an
+underscore in front.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -32,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import WORD, free_name, give_back, text_bytes
 from .textscan import scan
 
 DECAY = 0.6
@@ -40,12 +48,11 @@ SPAN = 6
 TRAIN_ROWS = 2000
 LANDMARKS = 256
 ROUNDS = 3
-NEGATIVES = 6_000  # words of clean texts alone, and words of one toxic text, that are trained on at most
 _WINDOW = 24
 _HOP = 12
 _CODES = 1 << 18
 _SLICE = 4096  # words whose subsequences are in memory at a time
-_MEMORY = 400_000  # words whose margin a worker remembers
+_MEMORY = 200_000  # words whose margin a worker remembers
 #: Margins beyond these say no more; the lower one is also that of a text without words.
 NO_WORD, TOP_MARGIN = -1.0, 1.5
 
@@ -158,10 +165,25 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(a * best + b * np.maximum(0, second) + c, -35, 35)))
 
 
-def text_words(text: str | None) -> set[str]:
-    """Cleaned words of a text; single letters in a row (``i d i o t``) also count as one word."""
-    raw = (text or "").split()
-    return {c for w in [*raw, *spelled(raw)] if len(c := clean(w)) >= 3}
+_WORDS = re.compile(WORD)
+_ENDS, _QUOTES = ".!?", "\"')]"
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """Distinct cleaned words of each sentence of a text; words that are spelled out (``i d i o t``) are sentences of their own.
+
+    A sentence ends at a line's end, or with a word that ends in a full stop, exclamation or question mark (and one quote).
+    """
+    out: list[list[str]] = []
+    for line in (text or "").split("\n"):
+        raw = _WORDS.findall(line)
+        at = 0
+        for i, w in enumerate(raw):
+            if i + 1 == len(raw) or w[-1] in _ENDS or (w[-1] in _QUOTES and len(w) > 1 and w[-2] in _ENDS):
+                out.append(sorted({c for x in raw[at : i + 1] if len(c := clean(x)) >= 3}))
+                at = i + 1
+    out += [[w] for w in spelled(_WORDS.findall(text or ""))]
+    return [x for x in out if x]
 
 
 def spelled(raw: list[str]) -> list[str]:
@@ -176,23 +198,31 @@ def spelled(raw: list[str]) -> list[str]:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5, steps: int = 160) -> tuple[np.ndarray, float]:
-    """Weighted linear SVM with squared hinge loss, by accelerated gradient descent with a fixed number of steps."""
+def _svm(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, penalty: float = 1e-5, steps: int = 160) -> tuple[np.ndarray, float]:
+    """Weighted linear SVM with squared hinge loss, by accelerated gradient descent with a fixed number of steps.
+
+    ``positive`` and ``negative`` are a row's weights as an example of either class; ``x`` is never copied.
+    """
+    weight = positive + negative
     n = weight.sum()
-    z = np.empty((len(x), x.shape[1] + 1), x.dtype)
-    z[:, :-1], z[:, -1] = x, 1
-    del x
-    y = y.astype(z.dtype)
-    gram = sum((z[a : a + _SLICE] * (weight[a : a + _SLICE] / n)[:, None]).T @ z[a : a + _SLICE] for a in range(0, len(z), _SLICE))
+    gram = np.zeros((x.shape[1] + 1, x.shape[1] + 1))
+    for a in range(0, len(x), _SLICE):
+        part, w = x[a : a + _SLICE], weight[a : a + _SLICE] / n
+        gram[:-1, :-1] += (part * w[:, None]).T @ part
+        gram[-1, :-1] += w @ part
+    gram[:-1, -1] = gram[-1, :-1]
+    gram[-1, -1] = 1
     top = np.linalg.eigvalsh(gram)[-1] * 2 + penalty
-    w = v = np.zeros(z.shape[1], z.dtype)
+    positive, negative = (positive / n).astype(x.dtype), (negative / n).astype(x.dtype)
+    w = v = np.zeros(x.shape[1] + 1, x.dtype)
     t = 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (z @ v))
-        grad = -2 * ((weight / n * y * slack) @ z) + penalty * np.append(v[:-1], 0)
-        new = (v - grad / top).astype(z.dtype)
+        margin = x @ v[:-1] + v[-1]
+        pull = positive * np.maximum(0, 1 - margin) - negative * np.maximum(0, 1 + margin)
+        grad = -2 * np.append(pull @ x, pull.sum()) + penalty * np.append(v[:-1], 0)
+        new = (v - grad / top).astype(x.dtype)
         s = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        v = (new + (t - 1) / s * (new - w)).astype(z.dtype)
+        v = (new + (t - 1) / s * (new - w)).astype(x.dtype)
         w, t = new, s
     return w[:-1], w[-1]
 
@@ -209,18 +239,21 @@ def _curve(best: np.ndarray, second: np.ndarray, y: np.ndarray, weight: np.ndarr
     return tuple(w)
 
 
-def fit(texts: list, toxic: list[int], share: float | None = None) -> Machine:
-    """Train on the distinct words of labelled texts (a collection each); ``share``: of toxic texts where the score is to be used."""
+def _hash_order(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace"))
+
+
+def fit(texts: list[list[list[str]]], toxic: list[int], share: float | None = None) -> Machine:
+    """Train on the distinct words of labelled texts (lists of sentences); ``share``: of toxic texts where the score is to be used."""
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         return Machine(np.zeros(_CODES), 0.0, (0, 0, 0), float(y.mean()) if len(y) else 0.0)
     seen: tuple[dict[str, int], dict[str, int]] = {}, {}  # clean and toxic texts with the word
-    for words, label in zip(texts, toxic):
+    for text, label in zip(texts, toxic):
         count = seen[int(label)]
-        for w in words:
-            for p in windows(w):
-                count[p] = count.get(p, 0) + 1
-    words = [w for w in dict.fromkeys([*seen[0], *seen[1]]) if len(w) > 3]
+        for p in {p for sentence in text for w in sentence for p in windows(w)}:
+            count[p] = count.get(p, 0) + 1
+    words = sorted(w for w in {*seen[0], *seen[1]} if len(w) > 3)
     n1 = y.sum()
     n0 = len(y) - n1
     neg, pos = (np.array([c.get(w, 0) for w in words], float) for c in seen)
@@ -228,48 +261,43 @@ def fit(texts: list, toxic: list[int], share: float | None = None) -> Machine:
     # how far the shares of toxic and clean texts that hold the word are apart, in standard errors
     held = (pos + neg) / len(y)
     z = (pos / n1 - neg / n0) / np.sqrt(held * (1 - held) * (1 / n1 + 1 / n0) + 1e-9)
-    order = np.argsort(-z, kind="stable")
-    common = np.argsort(-neg, kind="stable")
-    marks = list(dict.fromkeys([*order[: LANDMARKS * 3 // 4], *common[: LANDMARKS // 4]]))
-    marks = [words[i] for i in marks]
-    # of the words of clean texts alone, the rarest teach little that others do not: a fixed number is enough
-    rare = np.flatnonzero(pos == 0)
-    rare = rare[np.argsort(-neg[rare], kind="stable")]
-    keep = np.ones(len(words), bool)
-    keep[rare[NEGATIVES:]] = False
-    lone = np.flatnonzero((pos == 1) & (z < 2))
-    keep[lone[NEGATIVES:]] = False
-    words, pos, neg, z = [w for w, k in zip(words, keep) if k], pos[keep], neg[keep], z[keep]
+    apart = np.argsort(-z, kind="stable")[: LANDMARKS // 2].tolist()
+    spread = sorted(range(len(words)), key=lambda i: _hash_order(words[i]))
+    marks = [words[i] for i in list(dict.fromkeys([*apart, *spread]))[:LANDMARKS]]
     index = {w: i for i, w in enumerate(words)}
     k_mm = kernel(marks, marks)
     value, vector = np.linalg.eigh(k_mm)
     good = value > 1e-6 * value[-1]
     root = vector[:, good] / np.sqrt(value[good])
-    phi = kernel(words, marks) @ root.astype(np.float32)
-    bags = [np.array([i for w in t for p in windows(w) if (i := index.get(p, -1)) >= 0 and z[i] > 1], np.int64) for t, label in zip(texts, toxic) if label]
+    root = root.astype(np.float32)
+    phi = np.empty((len(words), root.shape[1]), np.float32)
+    for at in range(0, len(words), _SLICE):
+        phi[at : at + _SLICE] = kernel(words[at : at + _SLICE], marks) @ root
+    # of toxic texts, the sentences' words that toxic texts hold more often than clean ones, whatever the sizes of the classes
+    lean = pos / n1 > neg / n0
+    index = {w: i for w, i in index.items() if lean[i]}
+    found = [[np.array([index[p] for w in x for p in windows(w) if p in index], np.int64) for x in t] for t, label in zip(texts, toxic) if label]
+    bags = [[s for s in bag if len(s)] for bag in found]
     margin = z
     for _ in range(ROUNDS):
         witness = np.zeros(len(words))
         for bag in bags:
-            if len(bag):
-                m = margin[bag]
-                chosen = bag[m >= max(m.max() * 0.9, m.max() - 0.25)] if m.max() > 0 else bag[[m.argmax()]]
-                witness[chosen] += 1 / len(chosen)
-        at = np.flatnonzero(witness)
+            if bag:
+                tops = np.array([margin[s].max() for s in bag])
+                highest = tops.max()
+                near = max(highest * 0.9, highest - 0.25) if highest > 0 else highest
+                chosen = np.concatenate([s[margin[s] >= near] for s, top in zip(bag, tops) if top >= near])
+                np.add.at(witness, chosen, 1 / len(chosen))
         against = neg**0.75
-        weight = np.concatenate([witness[at] * against.sum() / max(1.0, witness.sum()) * 0.5, against]).astype(np.float32)
-        held = weight > 0
-        picked = np.concatenate([at, np.arange(len(words))])[held]
-        label = np.concatenate([np.ones(len(at)), -np.ones(len(words))])[held]
-        w, bias = _svm(phi[picked], label, weight[held])
+        w, bias = _svm(phi, witness * against.sum() / max(1.0, witness.sum()) * 0.5, against)
         margin = phi @ w + bias
     lr, lc, lw, ln = vectors(marks)
     table = np.zeros(_CODES)
     np.add.at(table, lc, lw / ln[lr] * (root @ w)[lr])
     machine = Machine(table, float(bias), (1.0, 0.0, 0.0))
-    every = sorted({w for t in texts for w in t})
+    every = sorted({w for t in texts for x in t for w in x})
     of = dict(zip(every, machine.margins(every))) if every else {}
-    top = [_top_two(np.array([of[w] for w in t])) for t in texts]
+    top = [_top_two(np.array([max(of[w] for w in x) for x in t])) for t in texts]
     best, second = (np.array(x) for x in zip(*top))
     # the sample may hold the classes in other shares than the labelled table
     share = y.mean() if share is None else share
@@ -293,15 +321,55 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     some = [known.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(rows) for v in (0, 1)]
     found = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some[0].union(some[1])), "id")
 
-    def sets(batches):
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+
+    def split(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([" ".join(sorted(text_words(t))) for t in b.column("text").to_pylist()], pa.string())], ["id", "y", "words"])
+            texts = ["\n".join(map(" ".join, sentences(t))) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(texts, pa.string())], ["id", "y", "words"])
 
-    rows_found = found.select("id", "y", text_bytes(F.col("text")).alias("text")).mapInArrow(sets, "id long, y int, words string")
-    pool: dict[str, str] = {}  # each word is held once
-    got = sorted((r["id"], r["y"], tuple(pool.setdefault(w, w) for w in r["words"].split())) for r in rows_found.toLocalIterator())
-    del pool
-    return fit([g[2] for g in got], [g[1] for g in got], sizes.get(1, 0) / max(1, sum(sizes.values())))
+    def learn(batches):
+        pool: dict[str, str] = {}  # each word is held once
+        rows = []
+        for b in batches:
+            for i, y, t in zip(*(b.column(c).to_pylist() for c in ("id", "y", "words"))):
+                rows.append((i, y, [[pool.setdefault(w, w) for w in x.split(" ")] for x in t.split("\n")] if t else []))
+        del pool
+        rows.sort()
+        m = fit([r[2] for r in rows], [r[1] for r in rows], share)
+        del rows
+        give_back()
+        values = (m.table.tobytes(), m.bias, list(map(float, m.curve)), m.constant)
+        types = (pa.binary(), pa.float64(), pa.list_(pa.float64()), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], ["weights", "bias", "curve", "constant"])
+
+    split_rows = found.select("id", "y", text_bytes(F.col("text")).alias("text")).mapInArrow(split, "id long, y int, words string")
+    # bounded by the sample: one task can hold it, and a lost one is run again
+    got = split_rows.repartition(1).mapInArrow(learn, "weights binary, bias double, curve array<double>, constant double").first()
+    if got is None:
+        return fit([], [])
+    return Machine(np.frombuffer(bytes(got["weights"])), got["bias"], tuple(got["curve"]), got["constant"])
+
+
+def _two_best(w, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of the two highest sentences of each text of a run, from those of its words."""
+    ends = np.isin(w.data[w.end - 1], [ord(c) for c in _ENDS])
+    before = np.where(w.end - w.start > 1, w.data[w.end - 2], 0)
+    ends |= np.isin(w.data[w.end - 1], [ord(c) for c in _QUOTES]) & np.isin(before, [ord(c) for c in _ENDS])
+    lines = np.zeros(len(w.data) + 1, np.int64)
+    np.cumsum(w.data == 0x0A, out=lines[1:])
+    opens = np.ones(len(w.start), bool)
+    opens[1:] = ends[:-1] | (w.doc[1:] != w.doc[:-1]) | (lines[w.start[1:]] != lines[w.end[:-1]])
+    first = np.flatnonzero(opens)
+    top, doc = np.maximum.reduceat(margins, first), w.doc[first]
+    order = np.lexsort((-top, doc))
+    top, doc = top[order], doc[order]
+    best, second = np.full(w.n_docs, NO_WORD), np.full(w.n_docs, NO_WORD)
+    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    best[doc[head]] = top[head]
+    next_ = head[np.append(np.diff(head), len(doc) - head[-1]) > 1] + 1
+    second[doc[next_]] = top[next_]
+    return best, second
 
 
 class Scorer:
@@ -320,22 +388,8 @@ class Scorer:
     def _score(self, w) -> np.ndarray:
         best, second = np.full(w.n_docs, NO_WORD), np.full(w.n_docs, NO_WORD)
         if len(w.hash):
-            # each distinct (document, word) once: the two largest margins are of two different words
-            pair = np.lexsort((w.hash, w.doc))
-            d, h = w.doc[pair], w.hash[pair]
-            first = np.ones(len(d), bool)
-            first[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-            at = pair[first]
-            d, h = w.doc[at], w.hash[at]
-            keys, where, back = np.unique(h, return_index=True, return_inverse=True)
-            margins = self._margins(keys, at[where], w)[back]
-            np.maximum.at(best, d, margins)
-            rest = margins.copy()
-            order = np.lexsort((-margins, d))
-            opens = np.ones(len(order), bool)
-            opens[1:] = d[order][1:] != d[order][:-1]
-            rest[order[opens]] = NO_WORD
-            np.maximum.at(second, d, rest)
+            keys, where, back = np.unique(w.hash, return_index=True, return_inverse=True)
+            best, second = _two_best(w, self._margins(keys, where, w)[back])
             for i, m in self._spelled(w):
                 second[i] = max(second[i], min(best[i], m))
                 best[i] = max(best[i], m)
@@ -366,14 +420,14 @@ class Scorer:
             return
         run = short[:-2] & short[1:-1] & short[2:] & (w.doc[:-2] == w.doc[2:])
         for i in np.unique(w.doc[:-2][run]):
-            raw = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes().decode("utf-8", "replace").split()
-            words = spelled(raw)
-            if words:
-                yield i, float(self.machine.margins(words).max())
+            raw = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes().split()  # bytes.split() knows the six white-space characters
+            for m in self.machine.margins(spelled([x.decode("utf-8", "replace") for x in raw])).tolist():
+                yield i, m
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with the probability that a text is toxic."""
+    column = free_name(docs.columns, column)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     state: dict = {}
 
