@@ -21,33 +21,46 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below 0.5; empty texts stay."""
+    """Documents whose score is below 0.5; null, empty and wordless texts stay; rows that repeat an id are judged one by one."""
     machine = toxicity.train(docs, _labels(spark, sf_dir))
     name = free_name(docs.columns, "score")
     return toxicity.score(docs, machine, column=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal but for white space (null is empty): the longest, then the smallest id."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the smallest id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the smallest id.
+
+    Null ids, and texts without words, are near copies of nothing and stay.
+    """
     found = near_dedup.link_classes(docs, k=5)
     gone = found.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once at least, and as often as its fitted rate says."""
+    """Every document once at least, and as often as its fitted rate says.
+
+    Copies are rows like the document's own and are dealt to different partitions, one after the other from a hash of the
+    id, so that packing, which works inside partitions, does not put them side by side. Wordless and null texts and null ids
+    keep the rate they start with (1); rows that repeat an id are repeated one by one; ties cannot arise.
+    """
     out, report = mixing.mix(docs, _labels(spark, sf_dir), weights=WEIGHTS, least=1.0, carry=True)
     copies = report["columns"][-1]
-    return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.greatest(F.col(copies), F.lit(1))))).select(*docs.columns)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = free_name(docs.columns, "place")
+    out = out.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.greatest(F.col(copies), F.lit(1)) - 1)).alias(place))
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("place")) + F.col(place), F.lit(parts)).cast("int")
+    return out.repartitionById(parts, apart).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024, 2048, 4096 or 8192 words."""
+    """Sequences of 1024, 2048, 4096 or 8192 words; null and wordless texts ride with length 0, null ids stay null in the
+    lists, rows that repeat an id are packed one by one."""
     return packing.pack(docs)
 
 
