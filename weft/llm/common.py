@@ -17,6 +17,9 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bits of a broadcast filter at most (64 MiB); beyond it the filter lets more rows through, results stay exact.
 MAX_FILTER_BITS = 1 << 29
 
+#: Groups of more than a HOT-th of all rows are joined by broadcast: HOT of them at most.
+HOT = 1000
+
 _BUCKET_BITS = 15  # bits of one bitmap of bitmap_construct_agg
 
 
@@ -131,6 +134,19 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(e.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).distinct()
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with the row of their group; ``size``: the column of ``groups`` with the number of rows of a group.
+
+    Both are read twice and should be stored. Groups that hold more than a ``HOT``-th of all rows (``HOT`` of them at
+    most, so that they can be broadcast) never meet in one task; the others are joined by key.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) * HOT > total)
+    first = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) * HOT <= total), key)
+    return first.unionByName(rest)
+
+
 def text_bytes(text: Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(text, F.lit(""))

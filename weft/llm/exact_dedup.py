@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, free_name, text_bytes
+from .common import WHITE, cut, free_name, join_groups, text_bytes
 from .textscan import mix
 
 CELLS_PER_KEY = 16
@@ -114,8 +114,8 @@ def duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     lone = flagged.where(~F.col("again")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     some = cut(flagged.where("again").select("id", "len", "sha").withColumn("tag", F.monotonically_increasing_id()))
     best = F.min(F.struct((-F.col("len")).alias("len"), F.col("id").isNull().alias("void"), "id", "tag"))
-    groups = some.groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    many = some.join(groups, "sha").select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("tag") == F.col("best.tag")).alias("kept"), F.col("sha").alias("text_sha256"))
+    groups = cut(some.groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")))
+    many = join_groups(some, groups, "sha", "group_size").select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("tag") == F.col("best.tag")).alias("kept"), F.col("sha").alias("text_sha256"))
     return lone.union(many).withColumnRenamed("id", id)
 
 
