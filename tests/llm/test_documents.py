@@ -270,7 +270,7 @@ def test_archive_round_trip(spark, tmp_path):
     rows += [(100 + i, None, "<p>same</p>") for i in range(9)] + [(200, "http://x\r\ny", None), (201, "u", ""), (None, "n", "<p>same</p>"), (300, "big", "x" * 300_000)]
     df = spark.createDataFrame([(*r, "extra", "digest") for r in rows], "page_id long, url string, html string, payload string, digest string").repartition(4)
     archives = warc.write(df, f"file://{tmp_path}/a")
-    got = {r.page_id: r for r in warc.read(spark, archives).collect()}
+    got = {r.page_id: r for r in warc.read(archives).collect()}
     assert len(got) == len(rows) and all(r.intact for r in got.values())
     groups = {}
     for i, _, h in rows:
@@ -284,9 +284,33 @@ def test_archive_round_trip(spark, tmp_path):
         assert (r.record_type, r.refers_to) == (("response", None) if i == top else ("revisit", top))
         assert r.payload == ((h or "") if i == top else None)
         assert r.url == (u if u and "\r" not in u else None)
-    assert warc.write(df.limit(0), f"file://{tmp_path}/b") == []
-    assert warc.read(spark, []).count() == 0
-    assert {r.record_type for r in warc.read(spark, warc.write(df, f"file://{tmp_path}/c", least=10**6)).collect()} == {"response"}
+    none = warc.write(df.limit(0), f"file://{tmp_path}/b")
+    assert none.count() == 0 and warc.read(none).count() == 0
+    assert {r.record_type for r in warc.read(warc.write(df, f"file://{tmp_path}/c", least=10**6)).collect()} == {"response"}
+
+
+@pytest.mark.parametrize(
+    "rows, records",
+    [
+        ([(1, "A"), (1, "B"), (2, "A")], [(1, "B", None), (1, None, 2), (2, "A", None)]),
+        ([(1, "A"), (1, "B"), (2, "A"), (3, "B")], [(1, None, 2), (1, None, 3), (2, "A", None), (3, "B", None)]),
+        ([(1, "A"), (1, "A"), (1, "A")], [(1, "A", None)] * 3),
+        ([(1, "A"), (1, "A"), (2, "A"), (2, "A")], [(1, None, 2), (1, None, 2), (2, "A", None), (2, "A", None)]),
+    ],
+)
+def test_archives_of_repeated_ids(spark, tmp_path, rows, records):
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    got = [(r.page_id, r.payload, r.refers_to) for r in warc.read(warc.write(df, f"file://{tmp_path}/a")).collect()]
+    assert sorted(got, key=repr) == sorted(records, key=repr)
+
+
+def test_archives_of_one_hot_payload(spark, tmp_path):
+    """A third of all pages are equal: their group is broadcast, the records are whole."""
+    rows = [(i, "u", "hot" if i % 3 == 0 else f"page {i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.read(warc.write(df, f"file://{tmp_path}/a")).collect()
+    assert len(got) == 4000
+    assert {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {(i, 3999) for i in range(0, 3999, 3)}
 
 
 def test_archive_layout():
@@ -434,6 +458,34 @@ def test_records_nest_in_slots(spark):
     assert extracted(spark, pages) == ["\n".join(paragraphs(i)) for i in range(6)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_planted_texts_of_class_free_templates(spark, seed):
+    """Generated layouts of bare divs: banner, menu, teasers and footer around the planted text, in any order and nesting."""
+    rnd = random.Random(seed)
+    links = lambda n: "".join(f"<a href='/{rnd.randrange(999)}'>Tale {rnd.randrange(999)} of a long list</a> " for _ in range(n))
+    order = rnd.sample(["banner", "menu", "text", "teasers", "footer"], 5)
+    deep = {part: rnd.randint(1, 3) for part in order}
+    pages, planted = [], []
+    for i in range(12):
+        blocks = [f"Tale {i} of host {seed}", *(f"{story(i, k)} {story(i + 50, k)}" for k in range(rnd.randint(2, 6)))]
+        parts = {
+            "banner": "Stories for long evenings by the fire", "menu": links(6), "teasers": links(rnd.randint(3, 5)), "footer": "All rights are with those who tell the tales",
+            "text": f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:]),
+        }
+        pages.append("<html><body>" + "".join("<div>" * deep[x] + parts[x] + "</div>" * deep[x] for x in order) + "</body></html>")
+        planted.append("\n".join(blocks))
+    assert extracted(spark, pages) == planted
+    assert all(html_extract.extract(p) != t for p, t in zip(pages, planted))  # not without the template
+
+
+def test_equal_pages_count_one_by_one(spark):
+    """Rows that repeat whole pages an even number of times leave the vectors of their tokens apart."""
+    html = [f"<html><body><div>{''.join(f'<a href=/{k}>Link number {k} of the list</a> ' for k in range(6))}</div><div><h1>Tale {i}</h1><p>{story(i, 0)} {story(i, 1)}</p></div></body></html>" for i in range(4)]
+    rows = [(i, "http://h.example/x", h) for i, h in enumerate(html)] * 2
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted((i, f"Tale {i}\n{story(i, 0)} {story(i, 1)}") for i in [*range(4)] * 2)
+
+
 def test_vectors_merge(spark):
     html = [page(f"<p>{'text ' * i}</p>", f"t{i}") for i in range(1, 9)]
     df = spark.createDataFrame([("h", i, h) for i, h in enumerate(html)], "host string, page long, html string")

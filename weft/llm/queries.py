@@ -28,7 +28,7 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(_table(spark, sf_dir, "pages"), warc.archive_folder(spark))
-    out = warc.read(spark, archives, payloads=False)
+    out = warc.read(archives, payloads=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

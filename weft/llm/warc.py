@@ -2,16 +2,19 @@
 
 An archive is a leading skippable frame (magic 0x184D2A5D) that holds the dictionary, followed by one frame for each
 record, each of which can be decompressed alone once the dictionary is known. The dictionary is trained on a sample of
-the records to be archived, ``SAMPLE_ROWS`` rows (smallest hash of the id first), of which ``SAMPLE_BYTES`` are used.
+the records to be archived, ``SAMPLE_ROWS`` rows (smallest hash of the id first) of which ``SAMPLE_CHARS`` are read each and
+``SAMPLE_BYTES`` are used.
 
 Of records with equal payloads (of ``least`` bytes or more) the one with the largest id is written as a response, the others
-as revisits that refer to it and have no body. Only ids and digests are shuffled to decide this; groups are reduced on the
-map side. Each task writes archives of about ``ARCHIVE_BYTES`` to the folder, under a name of its own, and moves them into place
-when they are complete: of several attempts of a task one set of names is returned, and only those are read.
+as revisits that refer to it and have no body. Ids and digests are shuffled to decide this, groups are reduced on the map
+side. Rows that a bitmap of the revisits (bounded, one-sided) does not know are written straight from the scan; only the others,
+revisits and a few more, are joined with the decision, by id and digest. Each task writes archives of about
+``ARCHIVE_BYTES`` to the folder, under a name of its own, and moves them into place when they are complete: of several attempts of a
+task one set of names is stored, and only those are read.
 
 Defined cases: null payloads are empty; a null or odd url is left out of the record (no WARC-Target-URI); null ids are
-written without a number and read back as null, and are responses; rows that repeat an id are records of their own (all of
-those with the group's largest id are responses); an empty table gives no archive.
+written without a number and read back as null, and are responses; rows that repeat an id are records of their own, each
+with its own payload (all of those with the group's largest id are responses); an empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -22,19 +25,24 @@ import struct
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored
+from .common import bit_filter, in_filter, join_groups, new_folder, stored
 
 MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 8 << 20
+SAMPLE_CHARS = 128 << 10
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
+#: Tasks that read archives at most; each reads its archives one after the other.
+READERS = 20_000
 
 _DATE = "1970-01-01T00:00:00Z"
 _READ = 1 << 20
@@ -142,24 +150,35 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def revisits(pages: DataFrame, id: str, payload: Column, least: int) -> DataFrame:
-    """(id, refers_to) of the records that are revisits: ids and digests alone are shuffled."""
+    """(id, digest, refers_to) of the records that are revisits, stored: ids and digests alone are shuffled."""
     keys = stored(pages.where(F.col(id).isNotNull() & (F.octet_length(payload) >= least)).select(F.col(id).cast("long").alias("id"), F.sha1(payload).alias("digest")), "digests")
-    groups = keys.groupBy("digest").agg(F.max("id").alias("refers_to"), F.min("id").alias("low")).where("low < refers_to").select("digest", "refers_to")
-    return keys.join(groups, "digest").where("id < refers_to").select("id", "refers_to").distinct()
+    groups = keys.groupBy("digest").agg(F.max("id").alias("refers_to"), F.min("id").alias("low"), F.count(F.lit(1)).alias("size"))
+    groups = stored(groups.where("low < refers_to").select("digest", "refers_to", "size"), "groups")
+    return stored(join_groups(keys, groups, "digest", "size").where("id < refers_to").select("id", "digest", "refers_to").distinct(), "revisits")
 
 
-def write(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, dictionary: bytes | None = None) -> list[str]:
-    """Archive every row; returns the paths of the archives (their number is bounded by tasks and bytes, not by rows)."""
+def write(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, dictionary: bytes | None = None) -> DataFrame:
+    """Archive every row; returns the paths of the archives (column ``path``, stored)."""
     payload = F.coalesce(F.col(html), F.lit(""))
     spark = pages.sparkSession
     if dictionary is None:
-        # the ids are chosen first, so no text is sorted
+        # the ids are chosen first, so few texts are sorted
         ids = pages.where(F.octet_length(payload) > 0).select(F.col(id).alias("sample_id")).orderBy(F.xxhash64(id), id).limit(SAMPLE_ROWS)
-        got = pages.join(F.broadcast(ids.distinct()), F.col(id) == F.col("sample_id"), "left_semi").select(F.col(id), payload.alias("p")).limit(4 * SAMPLE_ROWS).collect()
-        dictionary = train_dictionary([r["p"].encode() for r in sorted(got, key=lambda r: (r[id], r["p"]))])
+        some = pages.join(F.broadcast(ids.distinct()), F.col(id) == F.col("sample_id"), "left_semi").select(F.col(id).alias("id"), F.substring(payload, 1, SAMPLE_CHARS).alias("p"))
+        got = some.orderBy(F.xxhash64("id"), "id", "p").limit(SAMPLE_ROWS).collect()
+        dictionary = train_dictionary([r["p"].encode() for r in got])
     shared = spark.sparkContext.broadcast(dictionary)
+    found = revisits(pages, id, payload, least)
+    bits = spark.sparkContext.broadcast(bit_filter(found.select(F.xxhash64("id", "digest").alias("key")), "key", found.count()))
+
+    @F.pandas_udf("boolean")
+    def known(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(bits.value, keys.to_numpy().view(np.uint64)))
+
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.join(revisits(pages, id, payload, least), "id", "left").select("id", "url", "payload", "refers_to")
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("again", known(F.xxhash64("id", "digest")))
+    straight = rows.where("NOT again").select("id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    rows = straight.union(rows.where("again").join(found, ["id", "digest"], "left").select("id", "url", "payload", "refers_to"))
 
     def run(batches):
         fs, base = open_folder(folder)
@@ -186,14 +205,15 @@ def write(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url",
         if writer is not None:
             yield close()
 
-    return [f"{folder}/{r['name']}" for r in rows.mapInArrow(run, "name string").collect()]
+    names = rows.mapInArrow(run, "name string").select(F.concat(F.lit(f"{folder}/"), "name").alias("path"))
+    return stored(names, "archives")
 
 
 READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean, payload string"
 
 
-def read(spark, archives: list[str], payloads: bool = True) -> DataFrame:
-    """One row per record. ``intact``: a response's block has the stated digest. Without ``payloads`` that column is null."""
+def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """One row per record of the archives at ``path``. ``intact``: a response's block has the stated digest. Without ``payloads`` that column is null."""
 
     def run(batches):
         for b in batches:
@@ -213,10 +233,8 @@ def read(spark, archives: list[str], payloads: bool = True) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    if not archives:
-        return spark.createDataFrame([], READ_SCHEMA)
-    names = spark.createDataFrame([(a,) for a in archives], "path string").repartition(len(archives))
-    return names.mapInArrow(run, READ_SCHEMA)
+    # archives are of about one size: each task reads some, whole and one after the other
+    return archives.select("path").repartition(max(1, min(archives.count(), READERS))).mapInArrow(run, READ_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
