@@ -397,7 +397,8 @@ def _kept(tokens: list[tuple], at: list[dict | None], own_article: bool, judged:
 def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    page = F.xxhash64(F.col(id), F.col(url), F.length(html)).bitwiseAND(F.lit((1 << 62) - 1))
+    # a number of its own for every row, so that equal rows do not cancel out; it is used in one stored pass alone
+    page = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 62) - 1))
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host.alias("host"))
     counted = token_counts(pages.select(host.alias("host"), page.alias("page"), F.coalesce(F.col(html), F.lit("")).alias("html")))
     found = stored(templates(stored(counted, "tokens"), rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))), "templates")
