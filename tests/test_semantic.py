@@ -1,8 +1,10 @@
 import json
+import sys
 import urllib.error
 from io import BytesIO
 
 import pytest
+from pyspark import cloudpickle
 
 from weft import AnalysisError, Catalog, Engine
 from weft.semantic import formats, providers
@@ -34,10 +36,78 @@ def test_flat_formats():
 def test_tree_format():
     rows = [{"a": 1, "b": "x", "c": 5}, {"a": 1, "b": "y", "c": 5}, {"a": 2, "b": "x", "c": None}]
     tree = formats.build_tree(rows, {"a": None, "b": "a", "c": "a"})
-    assert tree["tree"]["1"] == {"b": {"values": ["x", "y"], "children": {}}, "c": {"values": [5], "children": {}}}
+    assert tree["tree"][0] == (1, {"b": [("x", {}), ("y", {})], "c": [(5, {})]})
     assert formats.ftree(tree) == "[FTREE]\n[ROOT a=1] \nb:\n  - x\n  - y\nc:\n  - 5\n[ROOT a=2] \nb:\n  - x\n"
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not import tests
+
+
+class Reader:
+    """Answers from the text of the prompt alone: each row of the tree, in the order that the prompt states."""
+
+    def complete(self, prompt, n, config, first):
+        head, text = prompt.split("## Tuples\n")[1].split("[FTREE]\n")
+        order = head.splitlines()[0].removeprefix("Order of rows: ").split(", ")
+        roots, stack = [], []
+        for line in text.splitlines():
+            if line.startswith("[ROOT "):
+                value = line.strip()[6:-1].split("=", 1)[1]
+                roots.append((value, {}))
+                stack = [(-1, roots[-1][1])]
+                continue
+            pad = len(line) - len(line.lstrip())
+            while len(stack) > 1 and stack[-1][0] >= pad:
+                stack.pop()
+            line = line.strip()
+            if line.startswith("- "):
+                kids = {}
+                stack[-1][1].append((line[2:], kids))
+                stack.append((pad, kids))
+            else:
+                stack[-1][1][line[:-1]] = nodes = []
+                stack.append((pad, nodes))
+
+        def rows(name, nodes):
+            for at, (value, kids) in enumerate(nodes):
+                found = [{name: (at, value)}]
+                for k, below in kids.items():
+                    found = [x | y for x in found for y in rows(k, below)]
+                yield from found
+
+        every = sorted(rows(order[0], roots), key=lambda r: [r.get(a, (0, ""))[0] for a in order])
+        assert len(every) == n
+        return ["/".join(r.get(a, (0, "null"))[1] for a in order) for r in every], providers.Usage()
+
+
+@pytest.mark.parametrize(
+    "parents, rows",
+    [
+        ({"a": None, "b": "a"}, [(2, 5), (10, 1), (10, 7)]),  # numbers and not strings order the roots
+        ({"a": None, "b": "a", "c": "b"}, [(1, 1, 1), (1, 2, 2)]),  # a chain is no product
+        ({"a": None, "b": "a", "c": "a"}, [(1, b, c) for b in (1, 2) for c in (3, 4, 11)]),
+        ({"a": None, "b": "a", "c": "a"}, [(1, 1, 3), (1, 1, 4), (1, 2, 4)]),  # a predicate took a combination away
+        ({"a": None, "b": "a", "c": "a", "d": "b"}, [(1, b, c, d) for b in (1, 2) for c in (3, 4) for d in (b, b + 9)]),
+        ({"a": None, "b": "a"}, [(1, 1), (1, 1), (1, 2)]),  # repeated
+        ({"a": None, "b": "a"}, [(1, None), (2, 1), (2, None)]),
+    ],
+)
+def test_tree_answers_belong_to_their_tuples(parents, rows):
+    tuples = [dict(zip(parents, r)) for r in rows]
+    tree = MapConfig.parse({"prompt": "p", "tuple_format": "FTREE", "context_column": {"a": 9}})
+    got, _ = ask(Reader(), tuples, 0, tree, parents)
+    assert got == ["/".join("null" if v is None else str(v) for v in r) for r in rows]
+
+
+def test_tree_answers_of_a_rule(spark):
+    c = Catalog(spark)
+    for name, rows in (("R", [(2, 5), (10, 1), (10, 7), (3, 1)]), ("S", [(5, 20), (1, 9), (1, 100), (7, 3)])):
+        c.add(name, spark.createDataFrame(rows, "s long, d long"), "s", "d")
+    rule = 'Q(a,b,d,x) := R(a,b), S(b,d), x = LLM_MAP({"prompt":"p","tuple_format":"FTREE","context_column":{"a":2,"b":9}})'
+    got = Engine(c, Reader()).query(rule, "a,b,d,x").collect()
+    assert len(got) == 6 and all(r.x == f"{r.a}/{r.b}/{r.d}" for r in got)
+
+
 def test_prompt_has_its_sections():
     p = build_prompt("Do it.", COLUMNS, 2, "JSON")
     assert all(s in p for s in ("## Instructions", "## Response format", "Do it.", "Number of tuples: 2"))

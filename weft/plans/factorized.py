@@ -81,14 +81,14 @@ def count(edges: list[Edge], wide: bool = False) -> DataFrame:
             below = weights(child, e)
             df = e.data
             if not below:
-                out.append(df.groupBy(v).agg(F.count(F.lit(1)).cast(number).alias("_w")))
+                out.append(df.groupBy(v).agg(F.count(F.lit(1)).cast(number).alias("#w")))
                 continue
             for i, b in enumerate(below):
-                df = df.join(b.withColumnRenamed("_w", f"_w{i}"), child)
-            product = F.col("_w0")
+                df = df.join(b.withColumnRenamed("#w", f"#w{i}"), child)
+            product = F.col("#w0")
             for i in range(1, len(below)):
-                product = (product * F.col(f"_w{i}")).cast(number)
-            out.append(df.groupBy(v).agg(F.sum(product).cast(number).alias("_w")))
+                product = (product * F.col(f"#w{i}")).cast(number)
+            out.append(df.groupBy(v).agg(F.sum(product).cast(number).alias("#w")))
         return out
 
     # the root: the variable with the most relations, so that the tree is flat
@@ -97,8 +97,8 @@ def count(edges: list[Edge], wide: bool = False) -> DataFrame:
     first, *rest = weights(root, None)
     df = first
     for i, b in enumerate(rest):
-        df = df.join(b.withColumnRenamed("_w", f"_r{i}"), root).withColumn("_w", (F.col("_w") * F.col(f"_r{i}")).cast(number))
-    return df.agg(F.coalesce(F.sum("_w"), F.lit(0)).cast(number).alias("count"))
+        df = df.join(b.withColumnRenamed("#w", f"#r{i}"), root).withColumn("#w", (F.col("#w") * F.col(f"#r{i}")).cast(number))
+    return df.agg(F.coalesce(F.sum("#w"), F.lit(0)).cast(number).alias("count"))
 
 
 def minima(edges: list[Edge], names: tuple[str, ...]) -> DataFrame:

@@ -99,15 +99,15 @@ class Translator:
 
     def apply(self, df: DataFrame, p: Predicate) -> DataFrame:
         if isinstance(p, NotExists):
-            edges = self.catalog.relation(p.relation).edges().select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
-            return df.join(edges, (_column(p.source) == F.col("_s")) & (_column(p.target) == F.col("_d")), "left_anti")
+            edges = self.catalog.relation(p.relation).edges().select(F.col("src").alias("#s"), F.col("dst").alias("#d"))
+            return df.join(edges, (_column(p.source) == F.col("#s")) & (_column(p.target) == F.col("#d")), "left_anti")
         if not _has_anti(p):
             return df.where(to_column(p, _column))
         # inside a disjunction an anti-join is a flag from a left join with the distinct edges
         flags: dict[NotExists, str] = {}
         columns = df.columns
         for i, n in enumerate(_anti_parts(p)):
-            flag, s, d = f"_flag{i}", f"_s{i}", f"_d{i}"
+            flag, s, d = f"#flag{i}", f"#s{i}", f"#d{i}"
             edges = self.catalog.relation(n.relation).edges().distinct().select(F.col("src").alias(s), F.col("dst").alias(d), F.lit(True).alias(flag))
             df = df.join(edges, (_column(n.source) == F.col(s)) & (_column(n.target) == F.col(d)), "left")
             flags[n] = flag
@@ -133,16 +133,16 @@ class Translator:
         for names, group, predicates in groups:
             if any(map(_has_anti, predicates)):
                 # the predicate needs the tuple and the omitted values side by side
-                tagged = df.withColumn("_tuple", F.monotonically_increasing_id())
+                tagged = df.withColumn("#tuple", F.monotonically_increasing_id())
                 wide = self.join(tagged, group, [], predicates)
-                df = tagged.join(wide.select("_tuple"), "_tuple", "left_semi").drop("_tuple")
+                df = tagged.join(wide.select("#tuple"), "#tuple", "left_semi").drop("#tuple")
                 continue
             side = self.join(None, group, [], predicates)
             keys = [c for c in side.columns if c not in names]
-            side = side.withColumnsRenamed({c: f"_x_{c}" for c in side.columns})
+            side = side.withColumnsRenamed({c: f"#x_{c}" for c in side.columns})
             own = set(side.columns)
-            condition = [_column(k) == _column(f"_x_{k}") for k in keys]
-            condition += [to_column(p, lambda v: _column(f"_x_{v}" if f"_x_{v}" in own else v)) for p in predicates]
+            condition = [_column(k) == _column(f"#x_{k}") for k in keys]
+            condition += [to_column(p, lambda v: _column(f"#x_{v}" if f"#x_{v}" in own else v)) for p in predicates]
             df = df.join(side, reduce(lambda a, b: a & b, condition, F.lit(True)), "left_semi")
         return df
 

@@ -1,10 +1,11 @@
 """Tuples as prompt text in five formats.
 
-Fixed values of the formats: the XML elements header, row and column; the Markdown prefix COLUMN_; the marks [FTREE] and
-[ROOT attribute=value] of trees; a bar between values of encoded columns.
+Fixed values of the formats: the XML elements header, row and column; the Markdown prefix COLUMN_ and its table without
+columns; the marks [FTREE] and [ROOT attribute=value] of trees; a bar between values of encoded columns.
 
 Flat formats take columns ``[{"name": .., "data": [..]}]``; a column without a name is called ``COLUMN <n>``. FTREE takes
-``{"root": attribute, "tree": {value: {child: {"values": [..], "children": {..}}}}}``.
+``{"root": attribute, "order": [attributes], "tree": nodes}``; nodes are ``[(value, {child attribute: nodes})]``, each value with
+what hangs below it.
 """
 
 from __future__ import annotations
@@ -73,26 +74,26 @@ def column_encoded(columns: list[dict]) -> str:
     return "".join(lines)
 
 
-def _filled(node: dict) -> bool:
-    return bool(node.get("values")) or any(map(_filled, node.get("children", {}).values()))
+def _void(nodes: list) -> bool:
+    """Whether there is nothing but one NULL, and below it nothing."""
+    return len(nodes) == 1 and nodes[0][0] is None and all(map(_void, nodes[0][1].values()))
 
 
 def ftree(tree: dict) -> str:
     out = ["[FTREE]\n"]
 
-    def children(nodes: dict, depth: int) -> None:
-        for name in sorted(nodes):
-            node = nodes[name]
-            if not _filled(node):
+    def children(below: dict, pad: str) -> None:
+        for name, nodes in below.items():
+            if _void(nodes):
                 continue
-            pad = " " * depth
             out.append(f"{pad}{name}:\n")
-            out.extend(f"{pad}  - {_bare(v, 'null')}\n" for v in node.get("values", ()))
-            children(node.get("children", {}), depth + 2)
+            for value, kids in nodes:
+                out.append(f"{pad}  - {_bare(value, 'null')}\n")
+                children(kids, pad + "    ")
 
-    for value in sorted(tree["tree"]):
-        out.append(f"[ROOT {tree['root']}={value}] \n")
-        children(tree["tree"][value], 0)
+    for value, below in tree["tree"]:
+        out.append(f"[ROOT {tree['root']}={_bare(value, 'null')}] \n")
+        children(below, "")
     return "".join(out)
 
 
@@ -110,21 +111,42 @@ def flat_columns(rows: list[dict], names: tuple[str, ...]) -> list[dict]:
     return [{"name": n, "data": [r[n] for r in rows]} for n in names]
 
 
+def _grow(rows: list[dict], parents: dict[str, str | None], every: str | None = None) -> list:
+    """Nodes of the root attribute; of ``every`` each occurrence is a node of its own."""
+    children: dict[str | None, list[str]] = {}
+    for a, p in parents.items():
+        children.setdefault(p, []).append(a)
+
+    def nodes(a: str, of: list[dict]) -> list:
+        if a == every:
+            return [(r[a], {}) for r in of]
+        groups: dict = {}
+        for r in of:
+            groups.setdefault(r[a], []).append(r)
+        return [(v, {c: nodes(c, g) for c in children.get(a, ())}) for v, g in groups.items()]
+
+    return nodes(children[None][0], rows)
+
+
+def _tuples(nodes: list) -> int:
+    """The number of tuples that nodes stand for: of independent branches every combination."""
+    total = 0
+    for _, below in nodes:
+        n = 1
+        for kids in below.values():
+            n *= _tuples(kids)
+        total += n
+    return total
+
+
 def build_tree(rows: list[dict], parents: dict[str, str | None]) -> dict:
     """A factorized tree of tuples. ``parents``: attribute to parent (None for the root), parents first.
 
-    A node lists each of its values once; branches are kept apart by root value.
+    Values are listed in the order of the rows, each below its own parent's value. The tree stands for exactly the rows: where
+    they are not all combinations of its branches (or repeat), each attribute hangs below the one before it instead.
     """
-    root = next(a for a, p in parents.items() if p is None)
-    children: dict[str, list[str]] = {}
-    for a, p in parents.items():
-        if p is not None:
-            children.setdefault(p, []).append(a)
-
-    def node(a: str, of: list[dict]) -> dict:
-        return {"values": list(dict.fromkeys(r[a] for r in of if r[a] is not None)), "children": {c: node(c, of) for c in children.get(a, ())}}
-
-    groups: dict[str, list[dict]] = {}
-    for r in rows:
-        groups.setdefault(_bare(r[root], "null"), []).append(r)
-    return {"root": root, "tree": {v: {c: node(c, of) for c in children.get(root, ())} for v, of in groups.items()}}
+    names = list(parents)
+    tree = _grow(rows, parents)
+    if _tuples(tree) != len(rows):
+        tree = _grow(rows, dict(zip(names, [None, *names])), names[-1])
+    return {"root": names[0], "order": names, "tree": tree}

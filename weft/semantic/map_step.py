@@ -2,36 +2,33 @@
 
 Tuples are numbered along a total order of all columns joined so far: a range sort, then the row number within each range
 plus the sizes of the ranges before it. The numbering is stored, and batches are runs of it, so the step is distributed, a
-retried task asks for the same batches, and the answers do not depend on the partitioning. The answers are stored as well:
-whatever joins follow, no tuple is sent to a model twice.
+retried task asks for the same batches, and the answers do not depend on the partitioning. The answers are stored as well
+before the rest of the rule is joined, so no later step asks again; a task that is lost asks its ``REQUESTS`` requests or less again.
+
+Names of the step's own columns begin with ``#``, which no variable can.
 """
 
 from __future__ import annotations
 
 import json
 import logging
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import stored
 from .config import BATCH, MapConfig
 from .formats import build_tree, flat_columns
 from .prompt import build_prompt
 from .providers import Provider, Usage, create
 
-log = logging.getLogger(__name__)
-
+#: Requests of one task, unless there are fewer than cores.
+REQUESTS = 64
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/weft-checkpoints"
-    path = f"{base.rstrip('/')}/weft-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+log = logging.getLogger(__name__)
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
@@ -39,7 +36,7 @@ def numbered(df: DataFrame, column: str) -> DataFrame:
     order = [F.col(f"`{c}`").asc_nulls_first() for c in df.columns]
     part, place = f"{column}_part", f"{column}_place"
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
-    ranged = _stored(ranged.withColumn(place, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)), "tuples")
+    ranged = stored(ranged.withColumn(place, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)), "tuples")
     sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias("before"))  # a row for each range
     return ranged.join(F.broadcast(before), part).withColumn(column, F.col("before") + F.col(place)).drop("before", part, place)
@@ -85,14 +82,14 @@ def ask(provider: Provider, rows: list[dict], first: int, config: MapConfig, par
 def llm_map(df: DataFrame, output: str, config: MapConfig, parents: dict[str, str | None], provider: Provider | None = None) -> tuple[DataFrame, Usage]:
     """``df`` with the answers as column ``output``, and the usage. ``parents``: the tree of the attributes, for FTREE."""
     provider = provider or create(config.provider)
-    number = next(n for n in ("n", "_n", "__n", "___n") if n not in df.columns)
+    number, span_name = "#n", "#span"
     rows = numbered(df, number)
     # a task's rows are a whole number of requests; FTREE windows end with their span at the latest
     span = config.batch_size if config.tuple_format != "FTREE" else BATCH
-    spread = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    dealt = rows.withColumn("_span", F.floor(F.col(number) / span)).repartition(spread, "_span").sortWithinPartitions("_span", number)
+    requests = -(-rows.count() // span)
+    spread = max(1, min(requests, max(rows.sparkSession.sparkContext.defaultParallelism, -(-requests // REQUESTS))))
+    dealt = rows.withColumn(span_name, F.floor(F.col(number) / span)).repartition(spread, span_name).sortWithinPartitions(span_name, number)
     names = df.columns
-    usage_name, span_name = "_usage", "_span"
 
     def run(parts):
         def flush(held: list[dict]):
@@ -116,7 +113,7 @@ def llm_map(df: DataFrame, output: str, config: MapConfig, parents: dict[str, st
         if held:
             yield flush(held)
 
-    answers = _stored(dealt.mapInArrow(run, "n long, answer string, usage string"), "answers")
+    answers = stored(dealt.mapInArrow(run, "n long, answer string, usage string"), "answers")
     usage = Usage()
     keys = list(vars(usage))
     parsed = F.from_json("usage", T.StructType([T.StructField(k, T.LongType()) for k in keys])).alias("u")
