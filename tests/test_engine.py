@@ -210,3 +210,55 @@ def test_explain_and_two_key_join(dag):
     assert "Physical Plan" in plan
     # the atom that closes the cycle joins on both of its variables
     assert any(line.count("#") >= 2 and "," in line for line in plan.splitlines() if line.strip().startswith("Left keys"))
+
+
+@pytest.mark.parametrize(
+    "where",
+    [
+        "LT(a,b)", "LTE(a,b)", "GT(a,b)", "GTE(a,b)", "NEQ(a,b)", "EQ(a,b)", "NOTEXISTS(a,b,E)", "LT(a,b) OR EQ(x,3)", "NOTEXISTS(a,b,E) AND LT(a,3) OR EQ(x,2)", "NEQ(a,b) AND NEQ(a,c)",
+        "NOTEXISTS(a,b,E) AND NEQ(a,b)", "LT(a,b) AND GT(c,1)", "NEQ(a,c) OR NOTEXISTS(a,b,E)", "EQ(a,b) AND NOTEXISTS(a,c,E)", "LT(a,b) AND LT(b,c)", "LT(a,y)",
+    ],
+)
+def test_counts_by_differences_equal_plain_counts(spark, where):
+    """Predicates between atoms, with NULLs, duplicate edges, and further branches at every variable."""
+    rnd = random.Random(where)
+    pick = lambda n: [(rnd.choice([None, *range(7)]), rnd.choice([None, *range(6)])) for _ in range(n)]
+    e = engine(spark, A=pick(40), B=pick(40), C=pick(12), D=pick(15), E=pick(30))
+    body = f"A(a,x),B(b,x),C(x,c),D(a,y) WHERE {where}"
+    assert count(e, body) == count(e, body, rewrite=False)
+    assert count(e, body, wide=True) == count(e, body, rewrite=False)
+
+
+def test_ranks_of_strings_and_hubs_over_many_ranges(spark):
+    a = spark.createDataFrame([(f"v{i % 90:02}", i % 2) for i in range(600)], "s string, d long")
+    b = spark.createDataFrame([(f"v{i % 70:02}", i % 3) for i in range(500)], "s string, d long")
+    e = engine(spark, A=a, B=b)
+    assert count(e, "A(a,x),B(b,x) WHERE LTE(a,b)") == count(e, "A(a,x),B(b,x) WHERE LTE(a,b)", rewrite=False)
+    plan = e.explain("Q(COUNT(*)) := A(a,x),B(b,x) WHERE LT(a,b)")
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_cycles_are_closed_before_hubs_are_expanded(spark):
+    from weft.plans.translate import Translator
+
+    orders, items = [(o, o % 20) for o in range(60)], [(o, (o + k) % 30) for o in range(60) for k in range(2)]
+    c = Catalog(spark)
+    for name, rows, card in (("OC", orders, "n:1"), ("CN", [(c, c % 2) for c in range(20)], "n:1"), ("SN", [(s, s % 2) for s in range(30)], "n:1"), ("IS", items, "m:n")):
+        c.add(name, spark.createDataFrame(rows, "s long, d long"), "s", "d", card)
+    e = Engine(c)
+    rule = "Q(COUNT(*)) := OC(o,c), CN(c,n), SN(s,n), IS(o,s)"
+    bound = e.bind(rule)
+    assert [a.relation.name for a in Translator(bound, c).order(bound.atoms, bound.kept)] == ["OC", "CN", "IS", "SN"]
+    bound = e.bind(rule, "o,c,n,s")
+    assert [a.relation.name for a in Translator(bound, c).order(bound.atoms, bound.kept)] == ["OC", "CN", "SN", "IS"]
+    assert e.query(rule).first()[0] == sum((o % 20) % 2 == s % 2 for o, s in items)
+
+
+@pytest.mark.parametrize("body", ["R(_w,b)", "R(a,_w),R(c,_w)", "R(_s,b),R(b,_d) WHERE NOTEXISTS(_s,_d,R)", "R(_tuple,b),R(b,_flag0) WHERE NOTEXISTS(_tuple,_flag0,R) OR EQ(b,2)", "R(_w0,_r0),R(_r0,_r1),R(_r0,n)"])
+def test_names_with_underscores(dag, body):
+    assert count(dag, body) == count(dag, body, rewrite=False)
+
+
+def test_names_that_differ_in_case(dag):
+    with pytest.raises(AnalysisError, match="case"):
+        dag.query("Q(a) := R(a,A)")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .errors import AnalysisError
 from .operators.sinks import Sink, export
-from .plans import factorized
+from .plans import differences, factorized
 from .plans.analyzer import BoundRule, analyze, orderings
 from .plans.parser import parse_rule
 from .plans.translate import Translator, _column
@@ -72,8 +72,10 @@ class Engine:
         bound = self.bind(rule, ordering, allow_cross)
         translator = Translator(bound, self.catalog)
         kind = bound.rule.head.kind
-        if rewrite and kind in ("count", "min") and (edges := factorized.tree_of(translator)):
-            return factorized.count(edges, wide) if kind == "count" else factorized.minima(edges, bound.rule.head.attributes)
+        if rewrite and kind == "count" and (found := differences.count(bound, self.catalog, wide)) is not None:
+            return found
+        if rewrite and kind == "min" and (edges := factorized.tree_of(translator)):
+            return factorized.minima(edges, bound.rule.head.attributes)
         df = self._mapped(bound, translator) if bound.config else translator.tuples()
         if kind == "count":
             return df.agg(F.count(F.lit(1)).alias("count"))
@@ -150,7 +152,7 @@ class Engine:
 
 def print_report(report: Report, out: TextIO | None = None) -> None:
     out = out or sys.stdout
-    print("-------------- Report ----------------", file=out)
+    print("== what the rule found ==", file=out)
     if report.kind == "min":
         print("min: " + ", ".join("NULL" if v is None else str(v) for v in report.value or ()), file=out)
     else:

@@ -66,39 +66,48 @@ def tree_of(t: Translator) -> list[Edge] | None:
     return edges
 
 
-def _branches(edges: list[Edge], v: str, come: Edge | None) -> list[tuple[Edge, str]]:
+def number(wide: bool) -> str:
+    return "decimal(38,0)" if wide else "bigint"
+
+
+def branches(edges: list[Edge], v: str, come: Edge | None) -> list[tuple[Edge, str]]:
+    """The edges at ``v`` but the one that was come by, and their other ends."""
     return [(e, e.ends[1] if e.ends[0] == v else e.ends[0]) for e in edges if e is not come and v in e.ends]
 
 
-def count(edges: list[Edge], wide: bool = False) -> DataFrame:
-    """One row, ``count``: the number of tuples."""
-    number = "decimal(38,0)" if wide else "bigint"
+def weighted(df: DataFrame, below: list[DataFrame], key: str, out: str, wide: bool, own: str | None = None) -> DataFrame:
+    """``df`` with the product of the weights that ``below`` has for its keys (and of its column ``own``)."""
+    factors = [F.col(own)] if own else []
+    for i, b in enumerate(below):
+        df = df.join(b.withColumnRenamed("#w", f"#w{i}"), key)
+        factors.append(F.col(f"#w{i}"))
+    product = factors[0] if factors else F.lit(1)
+    for x in factors[1:]:
+        product = (product * x).cast(number(wide))
+    return df.withColumn(out, product.cast(number(wide)))
 
-    def weights(v: str, come: Edge | None) -> list[DataFrame]:
-        """Of each branch below ``v``: (v, weight)."""
-        out = []
-        for e, child in _branches(edges, v, come):
-            below = weights(child, e)
-            df = e.data
-            if not below:
-                out.append(df.groupBy(v).agg(F.count(F.lit(1)).cast(number).alias("#w")))
-                continue
-            for i, b in enumerate(below):
-                df = df.join(b.withColumnRenamed("#w", f"#w{i}"), child)
-            product = F.col("#w0")
-            for i in range(1, len(below)):
-                product = (product * F.col(f"#w{i}")).cast(number)
-            out.append(df.groupBy(v).agg(F.sum(product).cast(number).alias("#w")))
-        return out
 
+def branch(edges: list[Edge], v: str, e: Edge, child: str, wide: bool) -> DataFrame:
+    """(v, #w) of what hangs below ``v`` by the edge ``e``."""
+    below = weights(edges, child, e, wide)
+    if not below:
+        return e.data.groupBy(v).agg(F.count(F.lit(1)).cast(number(wide)).alias("#w"))
+    return weighted(e.data, below, child, "#p", wide).groupBy(v).agg(F.sum("#p").cast(number(wide)).alias("#w"))
+
+
+def weights(edges: list[Edge], v: str, come: Edge | None, wide: bool) -> list[DataFrame]:
+    """Of each branch below ``v``: (v, #w)."""
+    return [branch(edges, v, e, child, wide) for e, child in branches(edges, v, come)]
+
+
+def count(edges: list[Edge], wide: bool = False) -> DataFrame:
+    """One row, ``count``: the number of tuples."""
     # the root: the variable with the most relations, so that the tree is flat
     names = dict.fromkeys(x for e in edges for x in e.ends)
     root = max(names, key=lambda v: sum(v in e.ends for e in edges))
-    first, *rest = weights(root, None)
-    df = first
-    for i, b in enumerate(rest):
-        df = df.join(b.withColumnRenamed("#w", f"#r{i}"), root).withColumn("#w", (F.col("#w") * F.col(f"#r{i}")).cast(number))
-    return df.agg(F.coalesce(F.sum("#w"), F.lit(0)).cast(number).alias("count"))
+    first, *rest = weights(edges, root, None, wide)
+    df = weighted(first, rest, root, "#total", wide, "#w")
+    return df.agg(F.coalesce(F.sum("#total"), F.lit(0)).cast(number(wide)).alias("count"))
 
 
 def minima(edges: list[Edge], names: tuple[str, ...]) -> DataFrame:
@@ -107,7 +116,7 @@ def minima(edges: list[Edge], names: tuple[str, ...]) -> DataFrame:
     def values(v: str, come: Edge | None) -> list[DataFrame]:
         """Of each branch below ``v``: the values of ``v`` that have a tuple there."""
         out = []
-        for e, child in _branches(edges, v, come):
+        for e, child in branches(edges, v, come):
             df = e.data
             for b in values(child, e):
                 df = df.join(b, child, "left_semi")

@@ -57,22 +57,42 @@ class Translator:
 
     # -- joins
 
-    def order(self, atoms: list[BoundAtom], ranks: list[str]) -> list[BoundAtom]:
-        """Atoms in the order in which the column ordering binds their variables; each shares a variable with earlier ones
-        as long as there is one that does."""
+    def order(self, atoms: list[BoundAtom], ranks: list[str], bound: set[str] = frozenset()) -> list[BoundAtom]:
+        """Atoms in the order of their joins; each shares a variable with earlier ones as long as there is one that does.
+
+        A column ordering decides alone. Without one, atoms of which both variables are bound come first, as they only filter,
+        then those that add at most one partner by their cardinality. If several of a cyclic rule are left, the one that
+        adds the fewest partners on average is next, so that a cycle is closed before a hub is expanded.
+        """
         rank = {v: i for i, v in enumerate(ranks)}
-        left, out, seen = list(atoms), [], set()
+        left, out, seen = list(atoms), [], set(bound)
+        cyclic = len(self.bound.atoms) >= len(self.bound.rule.variables)
+
+        def place(a: BoundAtom) -> int:
+            return max(rank.get(v, len(rank)) for v in a.atom.variables)
+
         while left:
             near = [a for a in left if seen & set(a.atom.variables)] or left
-            best = min(near, key=lambda a: max(rank.get(v, len(rank)) for v in a.atom.variables))
+            if seen and self.bound.ordering is None:
+                near = [a for a in near if set(a.atom.variables) <= seen] or [a for a in near if self._lookup(a, seen)] or near
+                if cyclic and len(near) > 1 and not set(near[0].atom.variables) <= seen and not self._lookup(near[0], seen):
+                    fan = {id(a): self.catalog.fan_out(a.relation, a.atom.source in seen) for a in near}
+                    near = [a for a in near if fan[id(a)] == min(fan.values())]
+            best = min(near, key=place)
             left.remove(best)
             out.append(best)
             seen |= set(best.atom.variables)
         return out
 
+    @staticmethod
+    def _lookup(a: BoundAtom, seen: set[str]) -> bool:
+        """Whether each bound value has one partner at most, by the relation's cardinality."""
+        one, many = a.relation.cardinality.split(":")
+        return (a.atom.source in seen and many == "1") or (a.atom.target in seen and one == "1")
+
     def join(self, df: DataFrame | None, atoms: list[BoundAtom], ranks: list[str], pending: list[Predicate]) -> DataFrame:
         """``df`` joined with the atoms; pending predicates are applied, and taken from the list, once they are bound."""
-        for a in self.order(atoms, ranks) if df is None else self._after(df, atoms, ranks):
+        for a in self.order(atoms, ranks, set(df.columns) if df is not None else frozenset()):
             right = self.relation(a)
             if df is None:
                 df = right
@@ -84,17 +104,6 @@ class Translator:
                 pending.remove(p)
         return df
 
-    def _after(self, df: DataFrame, atoms: list[BoundAtom], ranks: list[str]) -> list[BoundAtom]:
-        seen, left, out = set(df.columns), list(atoms), []
-        rank = {v: i for i, v in enumerate(ranks)}
-        while left:
-            near = [a for a in left if seen & set(a.atom.variables)] or left
-            best = min(near, key=lambda a: max(rank.get(v, len(rank)) for v in a.atom.variables))
-            left.remove(best)
-            out.append(best)
-            seen |= set(best.atom.variables)
-        return out
-
     # -- predicates
 
     def apply(self, df: DataFrame, p: Predicate) -> DataFrame:

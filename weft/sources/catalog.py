@@ -1,7 +1,7 @@
 """A catalog of named binary relations over tables.
 
 A table is anything Spark reads; a relation (projection) names two of its columns and a cardinality. The cardinality is a
-hint: nothing depends on it but the choice of a broadcast, which is made by size as well.
+hint for the order of joins; no result depends on it.
 """
 
 from __future__ import annotations
@@ -89,10 +89,21 @@ class Catalog:
         self.spark = spark
         self._relations: dict[str, Relation] = {}
         self._tables: dict[str, DataFrame] = {}
+        self._fan_outs: dict[tuple[str, bool], float] = {}
 
     def refresh(self) -> None:
         """Forget opened tables, so files written since then are seen."""
         self._tables.clear()
+        self._fan_outs.clear()
+
+    def fan_out(self, relation: Relation, from_source: bool) -> float:
+        """Edges for each value of one side, on average: one map-side combined pass over that column, once a relation."""
+        key = relation.name, from_source
+        if key not in self._fan_outs:
+            side = F.col("src" if from_source else "dst")
+            row = relation.edges().agg(F.count(side).alias("n"), F.approx_count_distinct(side).alias("values")).first()
+            self._fan_outs[key] = row["n"] / max(1, row["values"])
+        return self._fan_outs[key]
 
     def names(self) -> list[str]:
         return list(self._relations)
