@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import TextIO
@@ -79,17 +80,23 @@ def write_json(out: TextIO, names: list[str], rows: Iterable[tuple]) -> int:
 
 
 def write_markdown(out: TextIO, names: list[str], rows: Iterable[tuple]) -> int:
-    """A padded table; needs the widths, so the rows are read before the first is written."""
-    cells = [["" if v is None else str(v) for v in row] for row in rows]
-    widths = [max(map(len, column)) for column in zip(names, *cells)]
+    """A padded table; the widths are known after the last row, so rows wait in a temporary file of the driver."""
+    widths = [len(n) for n in names]
 
     def line(values) -> str:
         return "|" + "".join(f" {v.ljust(w)} |" for v, w in zip(values, widths)) + "\n"
 
-    out.write(line(names) + "|" + "".join(f"{'-' * (w + 2)}|" for w in widths) + "\n")
-    for row in cells:
-        out.write(line(row))
-    return len(cells)
+    n = 0
+    with tempfile.TemporaryFile("w+", encoding="utf-8") as held:
+        for n, row in enumerate(rows, 1):
+            cells = ["" if v is None else str(v) for v in row]
+            widths = [max(w, len(c)) for w, c in zip(widths, cells)]
+            held.write(json.dumps(cells) + "\n")
+        held.seek(0)
+        out.write(line(names) + "|" + "".join(f"{'-' * (w + 2)}|" for w in widths) + "\n")
+        for text in held:
+            out.write(line(json.loads(text)))
+    return n
 
 
 _WRITERS = {"sink_csv": write_csv, "sink_json": write_json, "sink_markdown": write_markdown}
