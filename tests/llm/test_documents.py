@@ -206,6 +206,40 @@ def test_repeats_against_brute_force(spark, seed):
     assert got == brute_repeats(rows)
 
 
+def test_one_anchor_in_very_many_segments(spark, monkeypatch):
+    """The same five words amid ever different ones, and repeats among them: the anchor is split, nothing is lost."""
+    rnd = random.Random(3)
+    word = lambda: f"u{rnd.randrange(9000)}"
+    core = ["the", "five", "words", "that", "recur"]
+    around = [([word() for _ in range(8)], [word() for _ in range(8)]) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        left, right = rnd.choice(around)
+        rows.append((i, " ".join([*(word() for _ in range(rnd.randrange(4))), *left, *core, *(right if rnd.random() < 0.5 else rnd.choice(around)[1]), word()])))
+    expected = brute_repeats(rows)
+    assert sum(n for _, _, n, _ in expected) > 2000
+    cuts = []
+    single = substrings.single_windows
+    monkeypatch.setattr(substrings, "SHARD", 1)
+    monkeypatch.setattr(substrings, "single_windows", lambda *args: cuts.append(1) or single(*args))
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(frame(spark, rows).repartition(4)).collect()), key=repr)
+    assert got == expected and cuts
+
+
+def test_least_ids_against_a_dictionary():
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice("ab") for _ in range(rnd.choice([3, 13, 20, 60]))) for _ in range(150)]
+    ids = [rnd.randrange(1000) for _ in texts]
+    least = {}
+    for t, i in zip(texts, ids):
+        w = t.split(" ")
+        for j in range(len(w) - 12):
+            p = tuple(w[j : j + 13])
+            least[p] = min(least.get(p, i), i)
+    assert substrings.least_ids(texts, ids) == [[least[tuple(w[j : j + 13])] for j in range(len(w) - 12)] for w in (t.split(" ") for t in texts)]
+    assert substrings.least_ids([], []) == []
+
+
 def test_repeats_spans_and_empty(spark):
     p = " ".join(f"p{i}" for i in range(15))
     got = {r.doc_id: r for r in substrings.remove_repeats(frame(spark, [(1, p), (2, f"a {p} b {p}")])).collect()}

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import new_folder, shared_dir, stored
+
 #: White space and word pattern that all contracts share: space and the characters from tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -23,35 +25,12 @@ HOT = 1000
 _BUCKET_BITS = 15  # bits of one bitmap of bitmap_construct_agg
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "/tmp/weft-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/weft-{label}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder: later reads survive lost executors and the lineage ends here."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write as Parquet to the shared folder and read back, for results that several branches scan by column."""
-    path = new_folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that nothing refers to any more; it does so when garbage is collected."""
     gc.collect()
@@ -61,6 +40,7 @@ def release(spark: SparkSession) -> None:
 def give_back() -> None:
     """Return what a Python worker has freed to the system: workers are kept for later tasks, and so would be the memory."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not the GNU C library

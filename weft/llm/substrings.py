@@ -8,11 +8,14 @@ document; a document loses every word that a phrase covers which also starts in
    map-side combination) and kept as a bitmap.
 2. Candidates. The windows with such an anchor are counted in the same way by the hash of all their words: a second bitmap.
    Bitmaps are bounded (``common.MAX_FILTER_BITS``) and one-sided: what they let through too much costs time, not results.
-3. Passages. Each document is cut into runs of candidate windows that have one anchor. Equal passages collapse to one row with
-   the smallest document id (again map-side combined), so a passage that a third of all documents share is one row.
-4. Automata. Passages are sharded by anchor; windows that are equal have equal anchors and meet in one shard. A shard confirms
-   phrases word by word, compiles those of a bounded number of passages at a time into an Aho-Corasick automaton over word
-   numbers, and streams the shard's passages through it: each occurrence gets the smallest id that its phrase starts in.
+3. Segments. Each document is cut into runs of candidate windows that have one anchor: an exact filter, as no window outside
+   them recurs. Equal segments collapse to one row with the smallest document id (again map-side combined), so a passage that
+   a third of all documents share is streamed once. Anchors of more than ``SHARD`` different segments are cut anew, into single
+   windows that have the hash of the whole window as their anchor, so that no anchor's segments outgrow a task.
+4. Automata. Segments are sharded by anchor; windows that are equal have equal anchors and meet in one shard. A shard confirms
+   word by word which phrases two segments or more share (ranks of 1, 2, 4, 8 and 13 words, without hashes), compiles
+   these with the smallest id of each into an Aho-Corasick automaton over word numbers, and streams its segments of all
+   documents through it to locate every occurrence. What only one segment holds has that segment's smallest id.
 5. The result goes back along the passages to the documents' runs, and the covered words are removed. Only documents that may
    lose something are joined with their runs; the others (as a third bitmap tells) are written straight.
 
@@ -32,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, cut, in_filter, release, stored, text_bytes
+from .common import bit_filter, cut, give_back, in_filter, release, stored, text_bytes
 from .textscan import Words, scan, signed, sliding_min
 
 WINDOW = 13
 ANCHOR = 5
-#: Phrases in one automaton at most (13 nodes each).
-PHRASES = 50_000
-#: Passages that a shard holds on average.
+#: Segments that a shard holds on average, and of one anchor at most.
 SHARD = 2000
+#: Shards that a task works off, one after the other.
+TASK_SHARDS = 16
 
 
 def _windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +89,7 @@ def passages(docs: DataFrame) -> DataFrame:
                 new = ok.copy()
                 new[1:] &= ~(ok[:-1] & (a[1:] == a[:-1]) & (doc[1:] == doc[:-1]))
                 yield _by_document(ids[w.first + doc[new]], a[new])
+        give_back()
 
     def bitmap(hashes: DataFrame):
         found = cut(_recurring(hashes))
@@ -105,6 +109,7 @@ def passages(docs: DataFrame) -> DataFrame:
                 at = at[in_filter(first.value, a[at])]
                 h, _ = w.sequence(WINDOW)
                 yield _by_document(ids[w.first + w.doc[at]], h[at] if len(at) else np.zeros(0, np.uint64))
+        give_back()
 
     second = bitmap(docs.mapInArrow(candidates, "h long, n byte"))
 
@@ -115,6 +120,7 @@ def passages(docs: DataFrame) -> DataFrame:
                 out = [(ids[w.first + d], hashes[w.first + d], s, a, w.text(i, j)) for d, s, a, i, j in _runs(w, first.value, second.value)]
                 columns = list(zip(*out)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()))], ["id", "row", "start", "anchor", "passage"])
+        give_back()
 
     return docs.mapInArrow(runs, "id long, row long, start int, anchor long, passage string")
 
@@ -137,39 +143,100 @@ def _runs(w: Words, first: np.ndarray, second: np.ndarray) -> Iterator[tuple]:
         yield d, i - int(base[d]), int(a[i].view(np.int64)), i, j + WINDOW
 
 
+def _ranks(numbers: np.ndarray) -> np.ndarray:
+    """A number for the WINDOW words from each position on: equal if and only if the words are."""
+    rank, have = numbers, 1
+    while have < WINDOW:
+        step = min(have, WINDOW - have)  # two runs of ``have`` words, ``step`` apart, are one of have + step
+        _, rank = np.unique(rank[:-step].astype(np.int64) * (int(rank.max()) + 1) + rank[step:], return_inverse=True)
+        have += step
+    return rank
+
+
 def least_ids(texts: list[str], ids: list[int]) -> list[list[int]]:
-    """For each window of each passage the smallest id of a passage that holds its words; equal anchors throughout.
+    """For each window of each segment the smallest id of a segment that holds its words; equal anchors throughout.
 
-    The phrases of the shard are numbered, compiled into automata of at most PHRASES phrases, and every passage is streamed.
+    Phrases that segments share are compiled into an automaton with the smallest id, and the segments are streamed.
     """
     number: dict[str, int] = {}
     words = [tuple(number.setdefault(x, len(number) + 1) for x in t.split(" ")) for t in texts]
-    least: dict[tuple, int] = {}
-    for seq, i in zip(words, ids):
-        for k in range(len(seq) - WINDOW + 1):
-            phrase = seq[k : k + WINDOW]
-            if i < least.get(phrase, i + 1):
-                least[phrase] = i
-    out = [[0] * max(0, len(seq) - WINDOW + 1) for seq in words]
-    phrases = list(least)
-    for at in range(0, len(phrases), PHRASES):
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for p in phrases[at : at + PHRASES]:
-            machine.add_word(p, least[p])
-        machine.make_automaton()
-        for row, seq in zip(out, words):
-            for end, i in machine.iter(seq):
-                row[end - WINDOW + 1] = i
+    out = [[i] * max(0, len(seq) - WINDOW + 1) for seq, i in zip(words, ids)]
+    flat = np.array([x for seq in words for x in seq], np.int64)
+    if len(flat) < WINDOW:
+        return out
+    segment = np.repeat(np.arange(len(words)), [len(seq) for seq in words])
+    at = np.flatnonzero(segment[WINDOW - 1 :] == segment[: len(flat) - WINDOW + 1])
+    phrase, segment = _ranks(flat)[at], segment[at]
+    order = np.lexsort((np.array(ids, np.int64)[segment], phrase))
+    p, q = phrase[order], segment[order]
+    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+    shared = np.minimum.reduceat(q, first) != np.maximum.reduceat(q, first) if len(p) else np.zeros(0, bool)
+    if not shared.any():
+        return out
+    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for k in first[shared].tolist():
+        start = int(at[order[k]])
+        machine.add_word(tuple(flat[start : start + WINDOW].tolist()), ids[q[k]])
+    machine.make_automaton()
+    held = np.zeros(int(phrase.max()) + 1, bool)
+    held[p[first[shared]]] = True
+    for s in np.unique(segment[held[phrase]]).tolist():  # the others hold none of them
+        row = out[s]
+        for end, i in machine.iter(words[s]):
+            row[end - WINDOW + 1] = i
     return out
 
 
-def sourced(found: DataFrame) -> DataFrame:
-    """Distinct passages (anchor, key) with ``least``: for each of their windows the smallest id of its phrase."""
-    distinct = stored(found.groupBy("anchor", "passage").agg(F.min("id").alias("id")), "passages")
-    shards = max(1, -(-distinct.count() // SHARD))
+def single_windows(runs: DataFrame, bits) -> DataFrame:
+    """Every window of the runs with an anchor in a broadcast bitmap as a run of its own, with the hash of all its words as its anchor."""
+
+    def cut_up(batches):
+        for b in batches:
+            b = b.filter(pa.array(in_filter(bits.value, _ids(b.column("anchor")).view(np.uint64))))
+            ids, rows, starts = (_ids(b.column(c)) for c in ("id", "row", "start"))
+            for w in scan(b.column("passage")):
+                n = len(w.hash) - WINDOW + 1
+                if n < 1:
+                    continue
+                h, inside = w.sequence(WINDOW)
+                at = np.flatnonzero(inside)
+                of = w.first + w.doc[at]
+                base = np.searchsorted(w.doc, np.arange(w.n_docs))
+                texts = [w.text(i, i + WINDOW) for i in at.tolist()]
+                columns = (pa.array(ids[of]), pa.array(rows[of]), pa.array((starts[of] + at - base[w.doc[at]]).astype(np.int32)), signed(h[at]), pa.array(texts, pa.string()))
+                yield pa.RecordBatch.from_arrays(list(columns), ["id", "row", "start", "anchor", "passage"])
+
+    return runs.select("id", "row", "start", "anchor", "passage").mapInArrow(cut_up, "id long, row long, start int, anchor long, passage string")
+
+
+def distinct_segments(found: DataFrame) -> DataFrame:
+    """(anchor, passage, id) of the different segments with the smallest id of each, stored."""
+    return stored(found.groupBy("anchor", "passage").agg(F.min("id").alias("id")), "segments")
+
+
+def split_anchors(found: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs and their different segments, after those of anchors with more than ``SHARD`` segments are cut into single windows."""
+    hot = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("anchor"))
+    n = hot.count()
+    if not n:
+        return found, distinct
+    bits = found.sparkSession.sparkContext.broadcast(bit_filter(hot, "anchor", n))
+
+    @F.pandas_udf("boolean")
+    def many(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(bits.value, keys.to_numpy().view(np.uint64)))
+
+    # a few others share a cell of the bitmap; they are cut as well, an anchor's segments always alike
+    single = stored(single_windows(found, bits), "windows")
+    rest, others = found.where(~many("anchor")), distinct.where(~many("anchor"))
+    return rest.union(single), others.union(distinct_segments(single))
+
+
+def sourced(distinct: DataFrame) -> DataFrame:
+    """The different segments (anchor, key) with ``least``: for each of their windows the smallest id of its phrase."""
+    tasks = max(1, -(-distinct.count() // (SHARD * TASK_SHARDS)))
 
     def locate(batches):
-        held: list[list] = [[], [], []]
         last = None
 
         def flush():
@@ -187,8 +254,9 @@ def sourced(found: DataFrame) -> DataFrame:
                     column.append(x)
         if held[0]:
             yield flush()
+        give_back()
 
-    dealt = distinct.withColumn("key", F.xxhash64("passage")).repartition(min(shards, 100_000), "anchor").sortWithinPartitions("anchor")
+    dealt = distinct.withColumn("key", F.xxhash64("passage")).repartition(min(tasks, 100_000), "anchor").sortWithinPartitions("anchor")
     return dealt.select("anchor", "passage", "id", "key").mapInArrow(locate, "anchor long, key long, least array<long>")
 
 
@@ -196,7 +264,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     """id, n_words, n_removed, kept (the words that stay, joined by one space) and spans (removed word ranges)."""
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text_bytes(F.col(text))).alias("row"))
     found = stored(passages(rows.where("id IS NOT NULL")), "runs")
-    sources = sourced(found)
+    found, distinct = split_anchors(found, distinct_segments(found))
+    sources = sourced(distinct)
     runs = found.select("id", "row", "start", "anchor", F.xxhash64("passage").alias("key")).join(sources, ["anchor", "key"])
     runs = runs.select("id", "row", F.struct("start", F.transform("least", lambda i: i < F.col("id")).alias("hit")).alias("run")).where(F.exists("run.hit", lambda x: x))
     per = stored(runs.groupBy("id", "row").agg(F.collect_set("run").alias("runs")), "covered")
@@ -234,8 +303,17 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     def covered(keys: pd.Series) -> pd.Series:
         return pd.Series(in_filter(bits.value, keys.to_numpy().view(np.uint64)))
 
+    def untouched(batches):
+        """Rows that lose nothing; one step, so that a task has one Python worker."""
+
+        def rest():
+            for b in batches:
+                stay = pa.array(~in_filter(bits.value, _ids(b.column("row")).view(np.uint64)))
+                yield b.drop_columns(["row"]).filter(stay)
+
+        yield from strip(rest())
+
     # with the hash of the text, rows that repeat an id find their own runs
-    flagged = rows.withColumn("covered", covered("row"))
-    whole = flagged.where(~F.col("covered")).select("id", "text", F.lit(None).cast(per.schema["runs"].dataType).alias("runs"))
-    parts = flagged.where("covered").join(per, ["id", "row"], "left").select("id", "text", "runs")
-    return whole.mapInArrow(strip, schema).union(parts.mapInArrow(strip, schema)).withColumnRenamed("id", id)
+    whole = rows.select("id", "text", F.lit(None).cast(per.schema["runs"].dataType).alias("runs"), "row").mapInArrow(untouched, schema)
+    parts = rows.where(covered("row")).join(per, ["id", "row"], "left").select("id", "text", "runs").mapInArrow(strip, schema)
+    return whole.union(parts).withColumnRenamed("id", id)
