@@ -26,17 +26,16 @@ to what recurs, and each loses its own words; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_filter, cut, give_back, in_filter, release, stored, text_bytes
-from .textscan import Words, scan, signed, sliding_min
+from .textscan import Words, joined, scan, signed, slices, sliding_min, strings
 
 WINDOW = 13
 ANCHOR = 5
@@ -117,30 +116,30 @@ def passages(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids, hashes = _ids(b.column(0)), _ids(b.column(2))
             for w in scan(b.column(1)):
-                out = [(ids[w.first + d], hashes[w.first + d], s, a, w.text(i, j)) for d, s, a, i, j in _runs(w, first.value, second.value)]
-                columns = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()))], ["id", "row", "start", "anchor", "passage"])
+                d, start, anchor, i, j = _runs(w, first.value, second.value)
+                data, _, at = joined(w)
+                texts = slices(data, at[i], at[j - 1] + w.end[j - 1] - w.start[j - 1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[w.first + d]), pa.array(hashes[w.first + d]), pa.array(start.astype(np.int32)), signed(anchor), texts], ["id", "row", "start", "anchor", "passage"])
         give_back()
 
     return docs.mapInArrow(runs, "id long, row long, start int, anchor long, passage string")
 
 
-def _runs(w: Words, first: np.ndarray, second: np.ndarray) -> Iterator[tuple]:
+def _runs(w: Words, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each run of candidate windows: text, first word in the text, anchor, first word and the one after the last."""
     a, ok = _windows(w)
     at = np.flatnonzero(ok)
     at = at[in_filter(first, a[at])]
     if len(at):
         at = at[in_filter(second, w.sequence(WINDOW)[0][at])]
-    if not len(at):
-        return
     doc = w.doc[at]
-    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (a[at[1:]] != a[at[:-1]]) | (doc[1:] != doc[:-1])])
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (a[at[1:]] != a[at[:-1]]) | (doc[1:] != doc[:-1])
     opens = np.flatnonzero(new)
-    closes = np.concatenate([opens[1:], [len(at)]]) - 1
+    closes = np.append(opens[1:], len(at))[: len(opens)] - 1
+    d, i, j = doc[opens], at[opens], at[closes] + WINDOW
     base = np.searchsorted(w.doc, np.arange(w.n_docs))
-    for i, j in zip(at[opens].tolist(), at[closes].tolist()):
-        d = int(w.doc[i])
-        yield d, i - int(base[d]), int(a[i].view(np.int64)), i, j + WINDOW
+    return d, i - base[d], a[i], i, j
 
 
 def _ranks(numbers: np.ndarray) -> np.ndarray:
@@ -202,8 +201,9 @@ def single_windows(runs: DataFrame, bits) -> DataFrame:
                 at = np.flatnonzero(inside)
                 of = w.first + w.doc[at]
                 base = np.searchsorted(w.doc, np.arange(w.n_docs))
-                texts = [w.text(i, i + WINDOW) for i in at.tolist()]
-                columns = (pa.array(ids[of]), pa.array(rows[of]), pa.array((starts[of] + at - base[w.doc[at]]).astype(np.int32)), signed(h[at]), pa.array(texts, pa.string()))
+                data, _, begin = joined(w)
+                texts = slices(data, begin[at], begin[at + WINDOW - 1] + w.end[at + WINDOW - 1] - w.start[at + WINDOW - 1])
+                columns = (pa.array(ids[of]), pa.array(rows[of]), pa.array((starts[of] + at - base[w.doc[at]]).astype(np.int32)), signed(h[at]), texts)
                 yield pa.RecordBatch.from_arrays(list(columns), ["id", "row", "start", "anchor", "passage"])
 
     return runs.select("id", "row", "start", "anchor", "passage").mapInArrow(cut_up, "id long, row long, start int, anchor long, passage string")
@@ -260,6 +260,23 @@ def sourced(distinct: DataFrame) -> DataFrame:
     return dealt.select("anchor", "passage", "id", "key").mapInArrow(locate, "anchor long, key long, least array<long>")
 
 
+def _covered(w: Words, runs: pa.Array) -> np.ndarray:
+    """Which words a window covers that is marked in the texts' runs (lists of start and marks; null: none)."""
+    n = w.counts()
+    sums = np.zeros(len(w.hash) + 1, np.int64)
+    if runs.null_count < len(runs):
+        text = np.repeat(np.arange(w.n_docs), pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False))
+        flat = runs.flatten()
+        marks = pc.struct_field(flat, "hit")
+        size = pc.list_value_length(marks).to_numpy(zero_copy_only=False)
+        run = np.repeat(np.arange(len(size)), size)
+        first = (np.cumsum(n) - n)[text] + pc.struct_field(flat, "start").to_numpy(zero_copy_only=False)
+        at = (first[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size))[marks.flatten().to_numpy(zero_copy_only=False)]
+        np.add.at(sums, at, 1)
+        np.add.at(sums, at + WINDOW, -1)
+    return np.cumsum(sums[:-1]) > 0
+
+
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept (the words that stay, joined by one space) and spans (removed word ranges)."""
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text_bytes(F.col(text))).alias("row"))
@@ -273,28 +290,21 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     release(docs.sparkSession)
 
     def strip(batches):
-        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            runs = b.column(2).to_pylist()
+        for b in batches:
             for w in scan(b.column(1)):
-                n = w.counts()
+                gone = _covered(w, b.column(2).slice(w.first, w.n_docs))
+                data, offsets, _ = joined(w, ~gone)
+                n, n_gone = w.counts(), np.bincount(w.doc[gone], minlength=w.n_docs)
+                # removed ranges: from the first word that is gone to the one after the last, in one text
+                edge = np.flatnonzero(np.concatenate([[False], gone]) != np.concatenate([gone, [False]]))
+                turn = np.flatnonzero(gone[1:] & gone[:-1] & (w.doc[1:] != w.doc[:-1])) + 1
+                edge = np.sort(np.concatenate([edge, turn, turn]))
+                doc = np.repeat(w.doc[edge[::2]], 2) if len(edge) else edge
                 base = np.cumsum(n) - n
-                out = []
-                for d in range(w.n_docs):
-                    if not n[d] or not runs[w.first + d]:
-                        out.append((int(n[d]), 0, w.text(base[d], base[d] + n[d]) if n[d] else "", []))
-                        continue
-                    gone = np.zeros(n[d] + 1, np.int64)
-                    for r in runs[w.first + d]:
-                        at = r["start"] + np.flatnonzero(r["hit"])
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + WINDOW, -1)
-                    gone = np.cumsum(gone)[:-1] > 0
-                    stay = base[d] + np.flatnonzero(~gone)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    kept = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.start[stay], w.end[stay])).decode("utf-8", "replace")
-                    out.append((int(n[d]), int(gone.sum()), kept, edges.tolist()))
-                types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.first, w.n_docs), *(pa.array(list(c), t) for c, t in zip(zip(*out), types))], ["id", "n_words", "n_removed", "kept", "spans"])
+                lists = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=w.n_docs))]).astype(np.int32)
+                spans = pa.ListArray.from_arrays(pa.array(lists), pa.array(edge - base[doc], pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.first, w.n_docs), pa.array(n.astype(np.int64)), pa.array(n_gone.astype(np.int64)), strings(data, offsets), spans], ["id", "n_words", "n_removed", "kept", "spans"])
+        give_back()
 
     schema = "id long, n_words long, n_removed long, kept string, spans array<long>"
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(per, "row", per.count()))

@@ -139,6 +139,36 @@ def words(data: np.ndarray, offsets: np.ndarray, first: int = 0) -> Words:
     return Words(first, n_docs, data, offsets, start, end, doc, _span_hash(data.astype(np.uint64) + np.uint64(1), start, end))
 
 
+def joined(w: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text (those that ``keep`` marks) joined by one space: bytes, offsets of the texts, start of each kept word."""
+    at = np.flatnonzero(keep) if keep is not None else np.arange(len(w.start))
+    edge = np.zeros(len(w.data) + 1, np.int8)
+    edge[w.start[at]] += 1
+    edge[w.end[at]] -= 1  # a word's end may be the next text's first word: both count
+    mask = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    # the white space right after a word stays if another word of the text follows
+    gap = w.end[at[:-1]][w.doc[at[1:]] == w.doc[at[:-1]]]
+    data = w.data.copy()
+    data[gap] = 0x20
+    mask[gap] = True
+    sums = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=sums[1:])
+    return data[mask], sums[w.offsets], sums[w.start[at]]
+
+
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A string column from UTF-8 bytes and offsets."""
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """A string column of data[start:end] for each pair."""
+    size = end - start
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    return strings(data[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])], offsets)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values."""
     have = 1
