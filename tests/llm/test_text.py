@@ -207,6 +207,18 @@ def test_language_identification(spark):
     assert {r.language.lang for r in language_id.identify(df, none).collect()} == {"und"}
 
 
+def test_language_of_repeated_rows_and_clashing_columns(spark):
+    rows, df = language_docs(spark)
+    twice = df.union(df).withColumn("language", F.lit("mine"))
+    model = language_id.train(twice, rows=20)
+    assert model.languages == language_id.train(df, rows=20).languages
+    out = language_id.identify(twice, model)
+    assert out.columns[-1] == "_language" and {r.language for r in out.collect()} == {"mine"}
+    known = [(i, lang) for i, t, lang in rows if lang and t and re.search(r"[^\W\d_]", t)]
+    got = {(r.doc_id, r["_language"].lang) for r in out.collect()}
+    assert sum(x in got for x in known) >= 0.9 * len(known)
+
+
 def test_presence_is_whole_and_per_text():
     texts = ["abc", "", "ABC", "é" * 70000, "bcd"]
     rows = np.concatenate([x for _, x in language_id.presence(pa.array(texts))])

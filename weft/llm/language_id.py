@@ -5,11 +5,13 @@ the kernel is the number of shared cells over the geometric mean of both counts.
 which one-versus-rest kernel ridge regression is solved. As the kernel is linear in the presence vector, landmarks, map
 and ridge weights fold into one WIDTH x languages matrix, and a batch of texts is scored by one matrix product.
 
-Bounds: at most ``ROWS_PER_LANGUAGE`` labelled texts of each language (smallest hash of the id first) are learned from,
+Bounds: at most ``ROWS_PER_LANGUAGE`` labelled texts of each language (most zeros at the head of the id's hash first) are learned from,
 ``LANDMARKS`` of them are landmarks; their presence bits (WIDTH / 8 bytes each) are all that reaches the driver.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows without a language, without an id or
-without a letter are not learned from; if nothing can be learned every text is ``und``; long texts are read whole.
+without a letter are not learned from; if nothing can be learned every text is ``und``; long texts are read whole; rows that
+repeat an id and language are one row of the sample and are all learned from; if the input has a column with the result's name,
+the result's gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .textscan import buffers, chunks
 
 WIDTH = 1 << 15
@@ -113,8 +116,15 @@ def fit(rows: np.ndarray, names: list[str], landmarks: int = LANDMARKS, ridge: f
 
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
     known = docs.where(F.col(lang).isNotNull() & F.col(id).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(id).alias("id"), F.col(lang).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("id", "lang").distinct()
+    # zeros at the head of the id's hash: half of the rows have one at least, a quarter two, ..; for each language the
+    # largest number that leaves enough rows, so that whatever its share few more than ``rows`` are ranked in one task
+    known = known.withColumn("zeros", F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("id")), 64, "0"), "^0*", 0)))
+    sizes = known.groupBy("lang", "zeros").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("zeros"))))
+    least = sizes.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("above") >= rows, F.col("zeros"))), F.lit(0)).alias("least"))
+    # a row for each language, as the model has a column for each
+    few = known.join(F.broadcast(least), "lang").where(F.col("zeros") >= F.col("least")).distinct()
+    order = Window.partitionBy("lang").orderBy(F.desc("zeros"), F.xxhash64("id"), "id")
+    sample = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("id", "lang")
 
     def bits(batches):
         for b in batches:
@@ -135,6 +145,7 @@ def hash_order(i: int) -> int:
 
 def identify(docs: DataFrame, model: Model, text: str = "text", column: str = "language") -> DataFrame:
     """``docs`` with a struct of ``lang`` and ``score``."""
+    column = free_name(docs.columns, column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
