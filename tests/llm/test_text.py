@@ -133,6 +133,48 @@ def test_packing_keeps_every_unit(seed):
     assert waste < 0.03
 
 
+def cheapest(lengths, capacities, overhead):
+    """Exhaustive: every way to deal the pieces into sequences."""
+    best = [float("inf")]
+
+    def go(at, sums):
+        if at == len(lengths):
+            best[0] = min(best[0], sum(min(c for c in capacities if c >= x) + overhead for x in sums))
+            return
+        for i, x in enumerate(sums):
+            if x + lengths[at] <= max(capacities) and x not in sums[:i]:
+                go(at + 1, [*sums[:i], x + lengths[at], *sums[i + 1 :]])
+        go(at + 1, [*sums, lengths[at]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_against_exhaustive_search():
+    rnd = random.Random(2)
+    ours = least = exact = 0
+    for _ in range(150):
+        lengths = [rnd.choice([rnd.randint(1, 10), rnd.randint(1, 40)]) for _ in range(rnd.randint(1, 8))]
+        bins = packing.pack_lengths(lengths, (10, 20, 40), 2)
+        assert sorted(x for _, held in bins for x in held) == sorted(lengths)
+        assert all(c == min(s for s in (10, 20, 40) if s >= sum(held)) for c, held in bins)
+        a, b = packing.cost(bins, 2), cheapest(lengths, (10, 20, 40), 2)
+        ours, least, exact = ours + a, least + b, exact + (a == b)
+    assert ours <= 1.05 * least and exact >= 90
+
+
+def test_packing_query_against_brute_force(spark):
+    """One partition: windows of rows in order, every word counted, the same sequences as from plain lists."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join("w" * rnd.randint(1, 3) for _ in range(rnd.choice([0, 3, 50, 400, 2500])))) for i in range(150)]
+    got = [(r.capacity, r.n_used, list(r.doc_ids), list(r.starts), list(r.lengths)) for r in packing.pack(frame(spark, rows).coalesce(1), window=64).orderBy("bin_id").collect()]
+    expected = []
+    for at in range(0, 150, 64):
+        part = rows[at : at + 64]
+        expected += packing.pack_window([i for i, _ in part], np.array([len(words(t)) for _, t in part]), packing.CAPACITIES, packing.OVERHEAD)
+    assert got == [(c, n, list(i), list(s), list(z)) for c, n, i, s, z in expected]
+
+
 def test_packing_table(spark):
     df = frame(spark, [*enumerate(ODD), (None, "some words here"), (3, "again 3")])
     got = packing.pack(df, capacities=(1024, 2048)).collect()
@@ -168,6 +210,37 @@ def test_mixing_reaches_the_targets(spark):
     assert by[200].n_tokens == 0
 
 
+def test_mixing_against_brute_force(spark):
+    """Posteriors by the formula of naive Bayes, rates by projected gradients of their own; hashes from the public xxhash."""
+    import xxhash
+
+    docs, labels = mixing_docs(spark, 80)
+    out, report = mixing.mix(docs, labels, weights={"0": 0.4, "1": 0.6})
+    rows = [(r.doc_id, [xxhash.xxh64_intdigest(w, 42) & (mixing.BUCKETS - 1) for w in words(r.text)]) for r in docs.collect()]
+    known = {r.doc_id: r.quality for r in labels.collect() if r.doc_id is not None and r.quality is not None}
+    table, size = np.full((2, mixing.BUCKETS), 0.5), np.zeros(2)
+    for i, w in rows:
+        if i in known:
+            size[known[i]] += 1
+            np.add.at(table[known[i]], w, 1)
+    table = np.log(table / table.sum(axis=1, keepdims=True))
+    raw = np.array([np.log(size / size.sum()) + mixing.WEIGHT_WORDS / max(len(w), mixing.WEIGHT_WORDS) * table[:, w].sum(axis=1) for _, w in rows])
+    p = np.exp(raw - raw.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    n = np.array([len(w) for _, w in rows], float)
+    goal = np.array([0.4, 0.6]) * n.sum()
+    rate = np.ones(len(n))
+    g = (p * n[:, None]).T @ p
+    for _ in range(500):
+        rate = np.maximum(0, rate - p @ np.linalg.solve(g, (rate * n) @ p - goal))
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.p_0, r.rate) for r in out.collect()))
+    want = sorted(((i if i is not None else -1, int(a), b, r) for (i, _), a, b, r in zip(rows, n, p[:, 0], rate)))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.array([x[2] for x in got]) == pytest.approx(np.array([x[2] for x in want]), abs=1e-3)
+    assert np.array([x[3] for x in got]) == pytest.approx(np.array([x[3] for x in want]), abs=2e-3)
+    assert report["goal"] == pytest.approx(goal.tolist())
+
+
 def test_mixing_with_a_lower_bound(spark):
     docs, labels = mixing_docs(spark)
     out, report = mixing.mix(docs, labels, weights={"0": 0.5, "1": 0.5}, least=1.0, carry=True)

@@ -2,9 +2,10 @@
 
 Every task packs the documents of its partition in windows of ``window`` documents: nothing is shuffled, no key can be
 hot, and a retried task makes the same sequences. Inside a window the lengths form a histogram. The longest piece left
-opens a sequence; each permitted length that can hold it is filled on trial by best fit (always the longest piece that
-still fits), its cost per used unit (capacity after downsizing plus ``overhead``) is compared, and the cheapest is kept.
-At last every sequence shrinks to the smallest permitted length that holds its contents.
+opens a sequence; each length that may be opened and can hold it is filled on trial by best fit (always the longest piece
+that still fits), its cost per used unit (capacity after downsizing plus ``overhead``) is compared, and the cheapest is kept.
+Every sequence shrinks to the smallest permitted length that holds its contents. The whole window is packed in this way with all
+lengths and with each length alone to open, and the plan of the least total cost is kept.
 
 Documents longer than the largest capacity are cut into pieces; every unit of every document is in exactly one sequence.
 
@@ -66,20 +67,30 @@ class _Lengths:
                 del self.order[bisect_right(self.order, x) - 1]
 
 
+def cost(bins: list[tuple[int, list[int]]], overhead: int) -> int:
+    """What sequences take: their capacities and the overhead of each."""
+    return sum(capacity + overhead for capacity, _ in bins)
+
+
 def pack_lengths(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> list[tuple[int, list[int]]]:
-    """(capacity, lengths) of each sequence for positive lengths up to the largest capacity."""
-    sizes, left, out = sorted(capacities), _Lengths(lengths), []
+    """(capacity, lengths) of each sequence for positive lengths up to the largest capacity: the cheapest of several plans."""
+    sizes = sorted(capacities)
+    plans = [_plan(lengths, sizes, opens, overhead) for opens in (sizes, *([c] for c in sizes[:-1]), sizes[-1:])]
+    return min(plans, key=lambda bins: cost(bins, overhead))
+
+
+def _plan(lengths: list[int], sizes: list[int], opens: list[int], overhead: int) -> list[tuple[int, list[int]]]:
+    """Best fit with the lengths ``opens`` to open; a piece that fits into none of them opens the smallest that holds it."""
+    left, out = _Lengths(lengths), []
     while first := left.longest():
         best = None
-        for c in sizes:
-            if c < first:
-                continue
+        for c in [c for c in opens if c >= first] or [next(c for c in sizes if c >= first)]:
             trial = left.fill(c)  # starts with the longest, which fits
             used = sum(x * n for x, n in trial)
             final = next(s for s in sizes if s >= used)
-            cost = (final + overhead) / used
-            if best is None or cost < best[0]:
-                best = (cost, final, trial)
+            price = (final + overhead) / used
+            if best is None or price < best[0]:
+                best = (price, final, trial)
         left.take(best[2])
         out.append((best[1], [x for x, n in best[2] for _ in range(n)]))
     return out
