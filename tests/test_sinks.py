@@ -117,3 +117,14 @@ def test_exports(spark, tmp_path, monkeypatch):
     assert e.run("Q(NOOP) := R(a,b)", None, "pnoop").rows == 0
     assert e.run("Q(MIN(a)) := R(a,b)", None, "min").value == (1,)
     assert e.run("Q(a,b) := R(a,b)").rows == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from weft.sources.storage import shared_dir
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,512]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset)))
