@@ -69,9 +69,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_substrings, op3_warc, op4_toxicity, op5_mixing, op6_language_id, op7_fingerprints, op8_exact_dedup, op9_near_dedup, op10_packing)}
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op7's result SQL can express: the texts' lengths and their edited forms."""
+    return op7_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def packed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op10's result SQL can express: every document's words are in its sequences, once."""
+    pieces = op10_packing(spark, sf_dir).select(F.explode(F.arrays_zip("doc_ids", "lengths")).alias("p"))
+    return pieces.groupBy(F.col("p.doc_ids").alias("doc_id")).agg(F.sum("p.lengths").alias("n_words"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_substrings, op3_warc, op4_toxicity, op5_mixing, op6_language_id, op7_fingerprints, op8_exact_dedup, op9_near_dedup, op10_packing, edited_texts, packed_words)}
 
 ORACLES = {
+    "edited_texts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+        s AS (
+            SELECT doc_id, t, n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS follows FROM d
+        )
+        SELECT doc_id, n AS n_chars, sha256(left(t, n - n // 3) || left(follows, n // 3)) AS edited_sha256 FROM s
+    """,
+    "packed_words": r"""
+        SELECT doc_id, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM documents
+    """,
     "op3_warc": r"""
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS h FROM pages
