@@ -274,6 +274,50 @@ def test_edited_texts(spark):
     assert fingerprints.compare_with_successors(frame(spark, [])).count() == 0
 
 
+def own_sketch(text):
+    """Sketch and hash of the word sequence with the public xxhash, chained as Spark chains columns and arrays."""
+    import struct
+
+    import xxhash
+
+    def chained(numbers):
+        h = 42
+        for x in numbers:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    w = [struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(x, 42)))[0] for x in words(text)]
+    k = fingerprints.WORDS
+    every = [chained(w[i : i + k]) for i in range(len(w) - k + 1)] or ([chained(w)] if w else [])
+    top = -(1 << 63) + int(fingerprints.FRACTION * (1 << 64))
+    return sorted({h for h in every if h < top}), chained(w)
+
+
+def test_fingerprints_against_an_independent_sketch(spark):
+    rnd = random.Random(15)
+    rows = [(i * 3, " ".join(rnd.choice(["ah", "b", "cé", "d", "e"]) for _ in range(rnd.choice([0, 2, 6, 30, 90])))) for i in range(50)] + [(1, None), (4, "")]
+    rows += [(1000, rows[5][1]), (1003, rows[5][1])]
+    after = sorted(rows, reverse=True)
+    texts = {i: t or "" for i, t in rows}
+    follows = {i: texts[after[(at + 1) % len(after)][0]] for at, (i, _) in enumerate(after)}
+
+    def name(sketch):
+        found, sequence = sketch
+        return ",".join(f"{h & (1 << 64) - 1:X}" for h in found) if found else f"={sequence & (1 << 64) - 1:X}"
+
+    def near(a, b):
+        x, y = set(a[0]), set(b[0])
+        return len(x & y) / len(x | y) if x and y else float(not x and not y and a[1] == b[1])
+
+    got = {r.doc_id: r for r in fingerprints.compare_with_successors(frame(spark, rows).repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for i, t in texts.items():
+        m = len(t) // 3
+        own, edited, other = own_sketch(t), own_sketch(t[: len(t) - m] + follows[i][:m]), own_sketch(follows[i])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (name(own), name(edited))
+        assert got[i].near_edited == pytest.approx(near(own, edited)) and got[i].near_next == pytest.approx(near(own, other))
+
+
 def test_sketches_estimate_likeness_and_containment(spark):
     rnd = random.Random(6)
     base = [f"w{rnd.randrange(10**6)}" for _ in range(4000)]
