@@ -11,7 +11,8 @@ all pairs of the members of a hub. For a count that is not needed:
 - ``a < b`` of two neighbours of one variable x is a sum over b of the weight of smaller a at the same x: running sums over
   ranges of (x, value), so that a hub is dealt to as many tasks as it needs.
 
-What fits none of these (two comparisons by size, other paths, more than ``MOST`` terms) is left to the plain plan.
+The ranges of a comparison by size are stored in the shared folder when the count is built, so that a retried task finds them as
+they were. What fits none of these (two comparisons by size, other paths, more than ``MOST`` terms) is left to the plain plan.
 """
 
 from __future__ import annotations
