@@ -52,6 +52,7 @@ _WINDOW = 24
 _HOP = 12
 _CODES = 1 << 18
 _SLICE = 4096  # words whose subsequences are in memory at a time
+_ROWS = 1024  # words in one matrix product
 _MEMORY = 200_000  # words whose margin a worker remembers
 #: Margins beyond these say no more; the lower one is also that of a text without words.
 NO_WORD, TOP_MARGIN = -1.0, 1.5
@@ -123,15 +124,13 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     where = np.full(_CODES, -1)
     where[used] = np.arange(len(used))
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for at in range(0, len(words), _SLICE):
-        r, c, w, n = vectors(words[at : at + _SLICE])
+    for at in range(0, len(words), _ROWS):
+        r, c, w, n = vectors(words[at : at + _ROWS])
         hit = where[c] >= 0
         r, c, w = r[hit], where[c[hit]], w[hit] / n[r[hit]]
-        order = np.argsort(r, kind="stable")
-        r, c, w = r[order], c[order], w[order]
-        for a in range(0, len(r), 20_000):
-            to, first = np.unique(r[a : a + 20_000], return_index=True)
-            out[at + to] += np.add.reduceat(dense[c[a : a + 20_000]] * w[a : a + 20_000, None], first, axis=0)
+        part = np.zeros((min(_ROWS, len(words) - at), len(used)))
+        part[r, c] = w  # a word has each code once
+        out[at : at + _ROWS] = part @ dense
     return out
 
 
