@@ -95,16 +95,16 @@ def compare_with_successors(docs: DataFrame, id: str = "doc_id", text: str = "te
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.coalesce(F.col(id).cast("long"), F.lit(_LEAST)).alias("id"), text_bytes(F.col(text)).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text")).withColumn("n_chars", F.length("text").cast("long"))
     order = successors(rows.select("id", "th", F.floor(F.col("n_chars") / 3).cast("int").alias("m")))
-    full = sketched(rows, "text", "sk", "sq")
     wanted = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), "m")
-    # both joins read the same columns of ``full`` by the same keys: one exchange serves them
-    gifts = full.join(wanted, ["id", "th"]).select(
+    # both joins read the same columns of ``rows`` by the same keys, so one exchange serves them; sketches, which do not
+    # compress, are made from the text on either side of it instead of being shuffled with the text
+    gifts = sketched(rows.join(wanted, ["id", "th"]), "text", "next_sk", "next_sq").select(
         F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.col("m")).alias("gift"),
-        F.col("sk").alias("next_sk"), F.col("sq").alias("next_sq"), F.col("doc").alias("next_doc"), F.col("n_chars").alias("next_chars"),
+        "next_sk", "next_sq", F.col("doc").alias("next_doc"), F.col("n_chars").alias("next_chars"),
     )
     if rows.select(F.lit(1)).count() != order.select(F.lit(1)).count():  # some rows repeat id and text
         gifts = gifts.dropDuplicates(["id", "th"])
-    whole = full.join(gifts, ["id", "th"])
+    whole = sketched(rows.join(gifts, ["id", "th"]), "text", "sk", "sq")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")), F.col("gift"))
     out = sketched(whole.withColumn("edited", edited), "edited", "edited_sk", "edited_sq")
     return out.select(
