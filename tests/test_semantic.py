@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 
 from weft import AnalysisError, Catalog, Engine
-from weft.semantic import formats, providers
+from weft.semantic import columns, formats, providers
 from weft.semantic.config import MapConfig
 from weft.semantic.map_step import ask, batches, numbered
 from weft.semantic.prompt import build_prompt
@@ -274,3 +274,59 @@ def test_provider_errors(monkeypatch):
     with pytest.raises(providers.ProviderError, match="stopped"):
         providers.Anthropic().parse({"stop_reason": "max_tokens"})
     assert providers.Anthropic().parse({"stop_reason": "end_turn", "content": [{"type": "text", "text": "plain"}]})[0] == ["plain"]
+
+
+OPENAI_VECTORS = {"data": [{"index": 1, "embedding": [3.0]}, {"index": 0, "embedding": [1.0]}], "usage": {"prompt_tokens": 4}}
+AZURE = providers.Azure({"AZURE_API_KEY": "k", "AZURE_RESOURCE_NAME": "r", "AZURE_API_VERSION": "v"})
+
+
+@pytest.mark.parametrize(
+    "provider,reply,url",
+    [
+        (providers.OpenAI({"OPENAI_API_KEY": "k"}), OPENAI_VECTORS, "https://api.openai.com/v1/embeddings"),
+        (AZURE, OPENAI_VECTORS, "https://r.openai.azure.com/openai/deployments/m/embeddings?api-version=v"),
+        (providers.Ollama(), {"embeddings": [[1.0], [3.0]], "prompt_eval_count": 4}, "http://localhost:11434/api/embed"),
+    ],
+)
+def test_embedding_requests(monkeypatch, provider, reply, url):
+    sent = []
+    monkeypatch.setattr(providers.urllib.request, "urlopen", lambda r, timeout: sent.append(r) or _Reply(json.dumps(reply).encode()))
+    vectors, usage = provider.embed(["a", "b"], "m")
+    assert vectors == [[1.0], [3.0]] and (usage.input_tokens, usage.api_calls) == (4, 1)
+    assert sent[0].full_url == url and json.loads(sent[0].data) == {"model": "m", "input": ["a", "b"]}
+    assert provider.embed([], "m")[0] == [] and len(sent) == 1
+    with pytest.raises(providers.ProviderError, match="2 embeddings for 1 texts"):
+        provider.embed(["a"], "m")
+
+
+@pytest.mark.parametrize("provider,url", [(providers.OpenAI({"OPENAI_API_KEY": "k"}), "api.openai.com/v1/audio/transcriptions"), (AZURE, "deployments/m/audio/transcriptions?api-version=v")])
+def test_transcription_requests(monkeypatch, provider, url):
+    sent = []
+    monkeypatch.setattr(providers.urllib.request, "urlopen", lambda r, timeout: sent.append(r) or _Reply(b'{"text": "hello"}'))
+    assert provider.transcribe(b"\x00\xff", 'a".wav', "m")[0] == "hello"
+    kind = sent[0].get_header("Content-type")
+    mark = kind.split("boundary=")[1].encode()
+    assert url in sent[0].full_url and kind.startswith("multipart/form-data")
+    parts = sent[0].data.split(b"--" + mark)
+    assert len(parts) == 5 and parts[-1] == b"--\r\n"
+    assert parts[1].endswith(b'name="model"\r\n\r\nm\r\n') and b'filename="a_.wav"' in parts[3] and parts[3].endswith(b"\r\n\r\n\x00\xff\r\n")
+
+
+def test_providers_without_embeddings_or_transcription():
+    with pytest.raises(providers.ProviderError, match="no embeddings"):
+        providers.Anthropic().embed(["a"], "m")
+    for p in (providers.Anthropic(), providers.Ollama()):
+        with pytest.raises(providers.ProviderError, match="no transcription"):
+            p.transcribe(b"", "a.wav", "m")
+
+
+def test_embeddings_and_transcripts_of_columns(spark):
+    rows = spark.createDataFrame([(1, "a", bytearray(b"xy")), (2, None, None), (3, "", bytearray()), (4, "a", None)], "id long, t string, s binary")
+    out = columns.transcripts(columns.embeddings(rows, "t", "v", "demo", "m", batch_size=2), "s", "said", "demo", "m")
+    got = {r.id: r for r in out.collect()}
+    assert out.columns == ["id", "t", "s", "v", "said"] and len(got) == 4
+    assert got[1].v == got[4].v == providers.Demo().embed(["a"], "m")[0][0] and got[2].v is None and len(got[3].v) == 8
+    assert [got[i].said for i in (1, 2, 3, 4)] == ["audio.wav: 2 bytes", None, "audio.wav: 0 bytes", None]
+    assert columns.embeddings(rows.limit(0), "t", "v", "demo", "m").collect() == []
+    with pytest.raises(AnalysisError, match="already"):
+        columns.embeddings(rows, "t", "ID", "demo", "m")
