@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from weft import AnalysisError, Catalog, Engine
 from weft.semantic import columns, formats, providers
 from weft.semantic.config import MapConfig
-from weft.semantic.map_step import ask, batches, numbered
+from weft.semantic.map_step import ask, batches, llm_filter, numbered
 from weft.semantic.prompt import build_prompt
 
 COLUMNS = [{"name": "a", "data": [1, 2]}, {"name": "b", "data": ["x", "y"]}]
@@ -330,3 +330,21 @@ def test_embeddings_and_transcripts_of_columns(spark):
     assert columns.embeddings(rows.limit(0), "t", "v", "demo", "m").collect() == []
     with pytest.raises(AnalysisError, match="already"):
         columns.embeddings(rows, "t", "ID", "demo", "m")
+
+
+class _Even:
+    """Says whether the number of a row's JSON column is even; leaves out the answer for the last row of a batch that holds 9."""
+
+    def complete(self, prompt, n, config, first):
+        assert config.parameters["response_format"] == {"schema": {"type": "boolean"}} and "Answer true" in prompt
+        data = json.loads(prompt.split("Number of tuples: ")[1].split("\n\n", 1)[1])["a"]
+        return [x % 2 == 0 if x % 3 else " True " if x % 2 == 0 else "no" for x in data if x != 9], providers.Usage(1, 1, 1, 0)
+
+
+def test_filter_keeps_rows_that_the_model_accepts(spark):
+    rows = spark.createDataFrame([(i, "even" if i % 2 == 0 else "odd") for i in range(10)], "a long, b string")
+    got, usage = llm_filter(rows, config(batch_size=4), {}, _Even())
+    assert got.columns == ["a", "b"] and sorted(map(tuple, got.collect())) == [(i, "even") for i in range(0, 10, 2)]
+    assert usage.api_calls == 3
+    assert llm_filter(rows, config(), {}, providers.Demo())[0].collect() == []
+    assert llm_filter(rows.limit(0), config(), {}, _Even())[0].collect() == []

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import logging
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -121,3 +122,12 @@ def llm_map(df: DataFrame, output: str, config: MapConfig, parents: dict[str, st
     usage.add(Usage(**{k: int(total[k] or 0) for k in keys}))
     out = rows.join(answers.select(F.col("n").alias(number), F.col("answer").alias(output)), number)
     return out.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{output}`")), usage
+
+
+def llm_filter(df: DataFrame, config: MapConfig, parents: dict[str, str | None], provider: Provider | None = None) -> tuple[DataFrame, Usage]:
+    """The rows of ``df`` for which the model answers true, and the usage. As in a WHERE clause, a missing answer is no match."""
+    answer = "#match"
+    yes_or_no = {**config.parameters, "response_format": {"schema": {"type": "boolean"}}}
+    asked = replace(config, prompt=f"{config.prompt}\nAnswer true for a row that fits and false for one that does not.", parameters=yes_or_no)
+    out, usage = llm_map(df, answer, asked, parents, provider)
+    return out.where(F.lower(F.trim(F.col(f"`{answer}`"))) == "true").drop(answer), usage
